@@ -12,6 +12,7 @@ from lexspan.sources.tables import table
 from .chat_render import read_back, render_conversations
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
 from .quality_rules import STOP_WORDS, apply_quality_rules
+from .simhash_vptree import simhash_components
 from .url_asof import temporal_filter, url_patterns
 from .warc_zstd import read_warc, write_warc
 
@@ -85,6 +86,11 @@ FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM x)
 """
 
 
+def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _listed(patterns: DataFrame, salt: str) -> DataFrame:
     """A dated list log drawn from the patterns themselves: two of three are added, most are removed later, half come back."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(salt), "pattern")), 1, 8), 16, 10).cast("bigint")
@@ -174,6 +180,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_prefix_render": op1_chat_prefix_render,
         "op2_warc_zstd_dictionary": op2_warc_zstd_dictionary,
         "op3_poisson_mixing": op3_poisson_mixing,
+        "op4_simhash_vptree": op4_simhash_vptree,
         "op7_url_list_asof": op7_url_list_asof,
         "op10_quality_rules": op10_quality_rules,
     }
