@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspan.sources.tables import table
 
 from .chat_render import read_back, render_conversations
+from .langid_rank import held_out, identify, train_profiles
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
 from .quality_rules import STOP_WORDS, apply_quality_rules
 from .simhash_vptree import simhash_components
@@ -139,6 +140,13 @@ FROM hits QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pattern
 """
 
 
+def op8_langid_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = train_profiles(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), profiles).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -182,6 +190,7 @@ def queries() -> dict[str, Query]:
         "op3_poisson_mixing": op3_poisson_mixing,
         "op4_simhash_vptree": op4_simhash_vptree,
         "op7_url_list_asof": op7_url_list_asof,
+        "op8_langid_rank_order": op8_langid_rank_order,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -168,10 +168,13 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
 
 
 def sample_payloads(pages: DataFrame) -> list[bytes]:
-    """The bounded sample that the dictionary is fitted on."""
+    """The bounded sample that the dictionary is fitted on. Hashes alone decide it, so a task sends the driver few bytes, and copies count once."""
     size = F.octet_length("html")
-    small = pages.where((size >= MIN_REVISIT) & (size <= DICT_RECORD_BYTES)).select("html").orderBy(F.xxhash64("html"), "html").limit(DICT_RECORDS)
-    return list(dict.fromkeys(r["html"].encode() for r in small.collect()))
+    small = pages.where((size >= MIN_REVISIT) & (size <= DICT_RECORD_BYTES)).select("html", F.xxhash64("html").alias("h"))
+    least = [r["h"] for r in small.select("h").distinct().orderBy("h").limit(DICT_RECORDS).collect()]
+    if not least:
+        return []
+    return sorted(r["html"].encode() for r in small.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("html").alias("html")).collect())
 
 
 def write_warc(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
