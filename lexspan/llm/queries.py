@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspan.sources.tables import table
 
+from . import brown_lm
 from .chat_render import read_back, render_conversations
 from .langid_rank import held_out, identify, train_profiles
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
@@ -147,6 +148,12 @@ def op8_langid_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), profiles).drop("text")
 
 
+def op9_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under the class model and the base model, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    return brown_lm.score(docs, brown_lm.train(docs.where(~F.col("held_out"))))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -191,6 +198,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash_vptree": op4_simhash_vptree,
         "op7_url_list_asof": op7_url_list_asof,
         "op8_langid_rank_order": op8_langid_rank_order,
+        "op9_brown_class_lm": op9_brown_class_lm,
         "op10_quality_rules": op10_quality_rules,
     }
 
