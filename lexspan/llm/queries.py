@@ -11,6 +11,7 @@ from lexspan.sources.tables import table
 
 from . import brown_lm
 from .chat_render import read_back, render_conversations
+from .decontam_lsa import find_contamination
 from .langid_rank import held_out, identify, train_profiles
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
 from .quality_rules import STOP_WORDS, apply_quality_rules
@@ -93,6 +94,11 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontam_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item, with the item and the evidence."""
+    return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def _listed(patterns: DataFrame, salt: str) -> DataFrame:
     """A dated list log drawn from the patterns themselves: two of three are added, most are removed later, half come back."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(salt), "pattern")), 1, 8), 16, 10).cast("bigint")
@@ -196,6 +202,7 @@ def queries() -> dict[str, Query]:
         "op2_warc_zstd_dictionary": op2_warc_zstd_dictionary,
         "op3_poisson_mixing": op3_poisson_mixing,
         "op4_simhash_vptree": op4_simhash_vptree,
+        "op6_decontam_latent": op6_decontam_latent,
         "op7_url_list_asof": op7_url_list_asof,
         "op8_langid_rank_order": op8_langid_rank_order,
         "op9_brown_class_lm": op9_brown_class_lm,
