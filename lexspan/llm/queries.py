@@ -16,6 +16,7 @@ from .langid_rank import held_out, identify, train_profiles
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
 from .quality_rules import STOP_WORDS, apply_quality_rules
 from .simhash_vptree import simhash_components
+from .token_tree import apply_edits, build_trees, with_masking_edits
 from .url_asof import temporal_filter, url_patterns
 from .warc_zstd import read_warc, write_warc
 
@@ -94,6 +95,13 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a masking pass, kept up by its edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = apply_edits(build_trees(with_masking_edits(docs)))
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_edits", "n_reencoded", F.size("leaf_tokens").cast("long").alias("n_leaves"))
+
+
 def op6_decontam_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that leaks a benchmark item, with the item and the evidence."""
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -202,6 +210,7 @@ def queries() -> dict[str, Query]:
         "op2_warc_zstd_dictionary": op2_warc_zstd_dictionary,
         "op3_poisson_mixing": op3_poisson_mixing,
         "op4_simhash_vptree": op4_simhash_vptree,
+        "op5_edit_aware_tokens": op5_edit_aware_tokens,
         "op6_decontam_latent": op6_decontam_latent,
         "op7_url_list_asof": op7_url_list_asof,
         "op8_langid_rank_order": op8_langid_rank_order,
