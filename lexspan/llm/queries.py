@@ -16,7 +16,7 @@ from .langid_rank import held_out, identify, train_profiles
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
 from .quality_rules import STOP_WORDS, apply_quality_rules
 from .simhash_vptree import simhash_components
-from .token_tree import apply_edits, build_trees, with_masking_edits
+from .token_tree import apply_edits, build_trees, masking_edits
 from .url_asof import temporal_filter, url_patterns
 from .warc_zstd import read_warc, write_warc
 
@@ -98,7 +98,7 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after a masking pass, kept up by its edits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = apply_edits(build_trees(with_masking_edits(docs)))
+    out = apply_edits(build_trees(docs), edits_of=masking_edits)
     return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_edits", "n_reencoded", F.size("leaf_tokens").cast("long").alias("n_leaves"))
 
 

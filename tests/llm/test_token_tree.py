@@ -44,13 +44,13 @@ def test_long_texts_and_locality():
 def test_operator_against_whole_encoding(spark):
     rows = [(1, "Mail a.b@c.org now\nor 10.0.0.1 ### end", "x"), (2, None, "y"), (3, "", None), (3, "plain text", "z"), (None, "call +49 30 1234567 $$$$ " * 90, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    out = tt.apply_edits(tt.build_trees(tt.with_masking_edits(df))).collect()
+    out = tt.apply_edits(tt.build_trees(df), edits_of=tt.masking_edits).collect()
     assert len(out) == 5
     for r in out:
         assert r["n_tokens"] == len(TOK.encoding.encode_ordinary(r["text"] or "")) == sum(r["leaf_tokens"])
         assert r["n_chars"] == len(r["text"] or "") == sum(r["leaf_chars"])
     assert {r["text"] for r in out if r["doc_id"] == 1} == {"Mail <MAIL> now\nor <IP>  end"}
-    assert tt.apply_edits(tt.build_trees(tt.with_masking_edits(df.limit(0)))).collect() == []
+    assert tt.apply_edits(tt.build_trees(df.limit(0)), edits_of=tt.masking_edits).collect() == []
 
 
 def test_edits_from_a_table(spark):
@@ -59,3 +59,10 @@ def test_edits_from_a_table(spark):
     out = {r["doc_id"]: r for r in tt.apply_edits(tt.build_trees(tt.attach_edits(docs, edits))).collect()}
     assert out[1]["text"] == "Oh, hello!" and out[2]["text"] == "other" and out[None]["text"] == "none"
     assert [out[k]["n_edits"] for k in (1, 2, None)] == [2, 0, 1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab Z'1²½Ⅷ٣_\x1c\x1f\n\téß.<中\u0301\u00a0", max_size=40))
+def test_both_splits_agree(text):
+    assert TOK.split(text) == TOK.pattern.findall(text)
+    assert sum(map(TOK.count, TOK.split(text))) == len(TOK.encoding.encode_ordinary(text))
