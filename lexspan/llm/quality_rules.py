@@ -31,6 +31,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: Columns that measuring adds.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Threshold:
     """``low * denominator <= numerator <= high * denominator``; an absent bound is not tested."""
@@ -100,7 +104,10 @@ def measure_quality(docs: DataFrame, text_col: str = "text", stop_words: Sequenc
         }
     )
     third = second.withColumn("__positions", _repeated_positions(F.col("__words"), F.col("__hashes")))
-    return third.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__positions")), F.lit(0).cast("long"))).drop("__words", "__lines", "__hashes", "__positions")
+    fourth = third.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__positions")), F.lit(0).cast("long")))
+    # Filters on the measures stop at an explode of one row; pushed into the projections above they would compute each measure anew wherever they name it.
+    rest = [c for c in fourth.columns if c not in MEASURES and not c.startswith("__")]
+    return fourth.select(*rest, F.explode(F.array(F.struct(*MEASURES))).alias("__m")).select(*rest, "__m.*")
 
 
 def compile_thresholds(table: Sequence[Threshold] = THRESHOLDS) -> tuple[Column, Column]:
