@@ -33,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 64
+LEAF = 16
 #: Borders this close to the end of what was read may move with what follows.
 AHEAD = 8
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -209,7 +209,7 @@ class TokenTree:
                     self.set_leaf(k, "", 0)
             self.set_leaf(holder, rest, rest_tokens)
             self.set_leaf(first, head + "".join(pieces), head_tokens + sum(map(self.tok.count, pieces)))
-        if len(self.texts[first]) > 64 * LEAF:  # a leaf that edits have blown up: the tree is laid out anew
+        if len(pieces) > 16 * LEAF or len(self.texts[first]) > 1 << 14:  # a leaf that edits have blown up: the tree is laid out anew
             fresh = TokenTree.build(self.tok, self.text())
             self.__dict__.update(fresh.__dict__ | {"reencoded": self.reencoded, "updated": self.updated + 2 * fresh.width})
 
