@@ -21,6 +21,7 @@ of their own; an empty table gives an empty table; other columns are dropped.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, words_of
@@ -267,13 +268,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return grouped.select(F.col("id").alias(id_col), F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity: bits over five-word shingles tell the similarity, bits over single words find candidates.
+# Near-duplicates by similarity: SimHash bits over single words and five-word shingles propose links, a prefix join finds the others, and the shingle sets decide.
 
 WORD_BYTES, SHINGLE_BYTES = 24, 40
+#: Hash buckets in which the shingles of all texts are counted.
+COMMON_BUCKETS = 1 << 18
+#: Slack for products that are whole numbers but for rounding.
+ROUNDING = 1e-9
 
 
 def similarity_layout(similarity: float = 0.8) -> Layout:
-    """Links at an estimated Jaccard similarity of at least ``similarity`` between sets of five-word shingles.
+    """Proposes links at an estimated Jaccard similarity of at least ``similarity`` between sets of five-word shingles.
 
     Two SimHash bits differ with the chance of the angle over pi, and a Jaccard similarity J of
     equally large sets is a cosine of 2J / (1 + J). Single edits change five shingles but one word,
@@ -297,16 +302,118 @@ def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def similarity_bits(text: str | None) -> bytes:
+def similarity_bits_and_set(text: str | None) -> tuple[bytes, bytes]:
     words = words_of(text)
     if not words:
-        return bytes(WORD_BYTES + SHINGLE_BYTES)
+        return bytes(WORD_BYTES + SHINGLE_BYTES), b""
     singles = np.unique(shingle_hashes(words, 1))
     fives = np.unique(shingle_hashes(words, 5))
-    return majority_bits(_spread(singles, WORD_BYTES // 8)) + majority_bits(_spread(fives, SHINGLE_BYTES // 8))
+    return majority_bits(_spread(singles, WORD_BYTES // 8)) + majority_bits(_spread(fives, SHINGLE_BYTES // 8)), fives.astype("<u8").tobytes()
+
+
+def near_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, bits, shingles) of each row: shingles is the set of five-word shingle hashes in ascending order, digest its MD5."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, sets = zip(*map(similarity_bits_and_set, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "bits", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, digest binary, bits binary, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of points whose sets (point, shingles) have a Jaccard similarity of at least ``similarity``, exactly."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                ok.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - ROUNDING)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda c: sets.select(F.col("point").alias(c), F.col("shingles").alias(f"{c}_set"))
+    return pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(work, "a long, b long")
+
+
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of COMMON_BUCKETS hash buckets. It orders the prefixes and decides nothing."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COMMON_BUCKETS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(total, (np.frombuffer(s.as_py(), "<u8") % COMMON_BUCKETS).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    rows = sets.select("shingles").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COMMON_BUCKETS rows
+    total = np.zeros(COMMON_BUCKETS, np.int64)
+    total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return total
+
+
+def prefix_rows(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """(h, point, small, root, n, pos): the first n - ceil(similarity * n) + 1 shingles of each set (point, small, root, shingles), rare ones first.
+
+    Two sets at ``similarity`` or more share at least one of them, whatever the common order is.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                hashes = [np.frombuffer(s.as_py(), "<u8") for s in part.column(3)]
+                sizes = np.array([len(h) for h in hashes], np.int64)
+                kept = np.array([n and n - math.ceil(similarity * n - ROUNDING) + 1 for n in sizes.tolist()], np.int64)
+                first = [h[np.lexsort((h, common[(h % COMMON_BUCKETS).astype(np.int64)]))[:k]] for h, k in zip(hashes, kept.tolist(), strict=True)]
+                at = np.repeat(np.arange(len(part)), kept)
+                pos = np.concatenate([np.arange(k) for k in kept.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), *[part.column(c).take(pa.array(at)) for c in range(3)], pa.array(sizes[at]), pa.array(pos)], names=["h", "point", "small", "root", "n", "pos"])
+
+    return sets.select("point", "small", "root", "shingles").mapInArrow(work, "h long, point long, small long, root long, n long, pos long")
+
+
+def missing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``prefix_rows``.
+
+    Most shingles are of one group only and go before the join. The largest group of a shingle
+    (least ``small``) is never joined with itself. At the first shared shingle, what is left of the
+    shorter rest bounds the intersection.
+    """
+    group, by_hash = F.struct("small", "root"), Window.partitionBy("h")
+    shared = rows.withColumns({"least": F.min(group).over(by_hash), "most": F.max(group).over(by_hash)}).where("least != most")
+    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n", "pos"), "shared_shingles")
+    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos")])
+    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos")])
+    fits = (F.col("r_of") < F.col("l_of")) & (F.least(F.col("l_n") - F.col("l_pos"), F.col("r_n") - F.col("r_pos")) >= similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
+    return left.join(right, "h").where(fits).select(F.col("l_point").alias("a"), F.col("r_point").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): groups of texts whose five-word shingles are ``similarity`` alike or more, as SimHash tells it."""
-    grouped = group_components(fingerprint(docs, similarity_bits, id_col, text_col), similarity_layout(similarity))
-    return grouped.select(F.col("id").alias(id_col), "component_id")
+    """(id, component_id): groups of texts linked by a Jaccard similarity of their five-word shingle sets of ``similarity`` or more, exactly.
+
+    A point is a distinct set. The trees propose links, which are checked on the sets; they leave
+    few groups to join, also where thousands of texts are alike. Then a prefix join finds every pair
+    of points in different groups that can reach the similarity, and the sets decide again: the
+    result does not depend on what the trees find.
+    """
+    marked = materialise(near_fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    points = materialise(marked.groupBy("digest").agg(F.min("row").alias("point"), F.min("id").alias("min_id"), F.first("bits").alias("bits")), "points")
+    sets = marked.withColumnRenamed("row", "point").select("point", "shingles").join(points.select("point"), "point", "left_semi")
+    by_bits = materialise(points.groupBy("bits").agg(F.min("point").alias("first")), "points_by_bits")
+    end = lambda c: by_bits.select(F.col("bits").alias(f"{c}_bits"), F.col("first").alias(c))
+    found = find_links(by_bits, similarity_layout(similarity)).select(F.col("a").alias("a_bits"), F.col("b").alias("b_bits"))
+    proposed = found.join(end("a"), "a_bits").join(end("b"), "b_bits").select("a", "b").union(points.join(by_bits, "bits").where("point != first").select("first", "point"))
+    groups = materialise(connected_components(verified(materialise(proposed, "proposed"), sets, similarity)), "groups")
+    sizes = groups.groupBy("root").agg((-F.count("*")).alias("small"))
+    labelled = sets.join(groups.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left").withColumns({"small": F.coalesce("small", F.lit(-1)), "root": F.coalesce("root", "point")})
+    rest = materialise(missing_pairs(prefix_rows(labelled, commonness(sets), similarity), similarity), "missing_pairs")
+    links = verified(rest, sets, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = connected_components(links).withColumnRenamed("node", "point")
+    named = points.join(roots, "point", "left").select("digest", "min_id", F.coalesce("root", "point").alias("root"))
+    named = materialise(named, "named")
+    final = named.join(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("digest", "component_id")
+    return marked.select("id", "digest").join(final, "digest").select(F.col("id").alias(id_col), "component_id")

@@ -120,3 +120,37 @@ def test_similar_texts_are_grouped_and_others_kept_apart(spark):
     got = {r["doc_id"]: r["component_id"] for r in sv.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] == group[i] for i in range(120)) >= 116
     assert all(got[i] // 3 * 3 == group[i] for i in range(120))
+
+
+def test_near_duplicates_equal_brute_force_with_word_and_block_edits(spark):
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(4000)]
+    bodies = []
+    for g in range(60):
+        base = rng.choices(vocab, k=rng.randint(20, 240))
+        n = len(base)
+        block = lambda share: [f"new{rng.randrange(10**6)}" for _ in range(round(share * n))]  # noqa: E731, B023
+        scattered = list(base)
+        for _ in range(max(1, n // 50)):
+            scattered[rng.randrange(n)] = rng.choice(vocab)
+        bodies += [base, scattered, base + block(0.1), base + block(0.24), block(0.2) + base, base + block(0.27), base[: round(0.82 * n)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(bodies)] + [(1000, ""), (1001, None), (1002, "a b c"), (1003, "A b  c")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                linked += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in sv.near_duplicates(df).collect()} == want
+    assert linked > 200 and len(set(want.values())) > 100
