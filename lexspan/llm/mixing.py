@@ -11,8 +11,8 @@ A source in the weights without rows is left out and the other shares keep their
 
 Defined results: a null source is among the others; a null id hashes like an empty one; rows that
 repeat an id get equal counts; an empty table gives an empty table; ``rate``, ``n_copies``,
-``copy`` and ``shuffle_key`` replace columns of the same name. Rates over ``max_rate`` are lowered
-to it: a parameter of the mixture (how often a text may be repeated), not of the run.
+``copy`` and ``shuffle_key`` replace columns of the same name. Rates have no bound; a caller that
+gives ``max_rate`` lowers larger ones to it and loses that part of the target.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ OTHERS = "*"
 #: The production mixture: the twenty sources in equal shares, any others together as much as one.
 WEIGHTS: dict[str, float] = {**{f"src{i}": 1.0 for i in range(20)}, OTHERS: 1.0}
 SEED = "mix-1"
+#: Largest rate of a single draw.
+DRAW_RATE = 64.0
 
 
 def poisson_steps(rate: float) -> list[float]:
@@ -43,13 +45,13 @@ def poisson_steps(rate: float) -> list[float]:
         term *= rate / k
 
 
-def hashed_point(seed: str, key: Column) -> Column:
+def hashed_point(seed: Column, key: Column) -> Column:
     """A uniform point in [0, 1) from 52 bits of MD5."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(2.0**52)
 
 
-def target_rates(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", size: float = 1.0, max_rate: float = 64.0) -> dict[str, float]:
+def target_rates(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", size: float = 1.0, max_rate: float | None = None) -> dict[str, float]:
     """Mean number of copies by source, for an output of ``size`` times the input's rows."""
     if any(w < 0 for w in weights.values()):
         raise ValueError("weights are 0 or more")
@@ -57,20 +59,26 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float], source_col: str
     key = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHERS))
     rows = {r["k"]: r["n"] for r in docs.groupBy(key.alias("k")).agg(F.count("*").alias("n")).collect()}  # at most len(weights) + 1 rows
     total, share = sum(rows.values()), sum(weights.get(k, 0.0) for k in rows)
-    return {k: min(max_rate, weights.get(k, 0.0) / share * size * total / n) if share else 0.0 for k, n in rows.items()}
+    rates = {k: weights.get(k, 0.0) / share * size * total / n if share else 0.0 for k, n in rows.items()}
+    return rates if max_rate is None else {k: min(max_rate, r) for k, r in rates.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", size: float = 1.0, seed: str = SEED, max_rate: float = 64.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", size: float = 1.0, seed: str = SEED, max_rate: float | None = None) -> DataFrame:
     """``docs`` repeated to the target weights in a global random order, with rate, n_copies, copy (from 1) and shuffle_key."""
     rates = target_rates(docs, weights, source_col, size, max_rate)
     named = [k for k in weights if k != OTHERS]
     key = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHERS))
-    rate_of = F.create_map(*chain.from_iterable((F.lit(k), F.lit(r)) for k, r in rates.items())) if rates else F.create_map(F.lit(OTHERS), F.lit(0.0))
-    steps_of = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, poisson_steps(r)))) for k, r in rates.items())) if rates else F.create_map(F.lit(OTHERS), F.array(F.lit(1.0)))
-    point = hashed_point(seed, F.col(id_col))
-    counted = docs.withColumns({"rate": rate_of[key], "__point": point, "__steps": steps_of[key]})
-    passed = F.aggregate("__steps", F.struct(F.col("__point").alias("u"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(s["u"].alias("u"), (s["n"] + (x <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
-    copies = counted.withColumn("n_copies", passed).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
+    draws = {k: max(1, math.ceil(r / DRAW_RATE)) for k, r in rates.items()}
+    by_key = lambda values, default: F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in (values or {OTHERS: default}).items()))[key]
+    rate = by_key({k: F.lit(r) for k, r in rates.items()}, F.lit(0.0))
+    steps = by_key({k: F.array(*map(F.lit, poisson_steps(r / draws[k]))) for k, r in rates.items()}, F.array(F.lit(1.0)))
+    n_draws = by_key({k: F.lit(n).cast("long") for k, n in draws.items()}, F.lit(1).cast("long"))
+    counted = docs.withColumns({"rate": rate, "__point": hashed_point(F.lit(seed), F.col(id_col)), "__steps": steps, "__draws": n_draws})
+    zero = F.lit(0).cast("long")
+    passed = lambda point: F.aggregate("__steps", F.struct(point.alias("u"), zero.alias("n")), lambda s, x: F.struct(s["u"].alias("u"), (s["n"] + (x <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
+    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), "__draws"), zero, lambda n, j: n + passed(hashed_point(F.concat(F.lit(seed + "/"), j.cast("string")), F.col(id_col))))
+    n_copies = F.when(F.col("__draws") == 1, passed(F.col("__point"))).otherwise(summed)
+    copies = counted.withColumn("n_copies", n_copies).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
     shuffle_key = F.md5(F.concat_ws("#", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    out = copies.drop("__point", "__steps").withColumn("shuffle_key", shuffle_key)
+    out = copies.drop("__point", "__steps", "__draws").withColumn("shuffle_key", shuffle_key)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -126,6 +126,17 @@ def test_mixture_meets_its_targets(spark):
         mixing.mix_sources(df, {"a": -1.0})
 
 
+def test_a_small_source_beside_a_large_one_meets_its_target(spark):
+    rows = [(i, "a" if i % 2000 else "b") for i in range(40000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mix_sources(df, {"a": 1.0, "b": 1.0}).select("doc_id", "source", "rate", "n_copies", "copy").collect()
+    n, of_b = Counter(r["source"] for r in out), {r["doc_id"]: r["n_copies"] for r in out if r["source"] == "b"}
+    assert {r["rate"] for r in out if r["source"] == "b"} == {1000.0}
+    assert abs(n["a"] - 20000) < 700 and abs(n["b"] - 20000) < 700
+    assert len(of_b) == 20 and len(set(of_b.values())) > 10 and all(800 < c < 1200 for c in of_b.values())
+    assert len({(r["doc_id"], r["copy"]) for r in out}) == len(out)
+
+
 # Temporal list
 
 
