@@ -334,7 +334,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 ok.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - ROUNDING)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda c: sets.select(F.col("point").alias(c), F.col("shingles").alias(f"{c}_set"))
+    asked = lambda c: pairs.select(F.col(c).alias("point")).distinct()
+    of = lambda c: sets.join(asked(c), "point", "left_semi").select(F.col("point").alias(c), F.col("shingles").alias(f"{c}_set"))
     return pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(work, "a long, b long")
 
 
