@@ -174,18 +174,19 @@ GOLD_CTE = "gold AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOI
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, doc) of documents that contain an item's text. Candidates share the item's first word pairs by an equi-join on hashed line starts; containment decides."""
+    """(query, doc) of documents that contain an item's text. Candidates share three inner tokens of the item, which containment leaves whole, by an equi-join; containment decides."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    head = lambda c: F.regexp_extract(c, r"^\S+ \S+ \S+", 0)
-    keyed = items.withColumn("head", head(F.col("item")))
+    parts = F.split("item", r"[ \n]")  # the first and the last may be parts of longer tokens in a document
+    inner = F.coalesce(F.size(parts), F.lit(0)) >= 5
+    keyed = items.where(inner).withColumn("head", F.array_join(F.slice(parts, 2, 3), " "))
     words, n = F.col("w"), F.size("w")
     joined = lambda a, b: F.concat(a, F.lit(" "), b)
     triples = F.zip_with(F.zip_with(words, F.slice(words, 2, n), joined), F.slice(words, 3, n), joined)  # the last two are null
-    wanted = docs.select("doc", F.split("text", r"[ \n]").alias("w")).select("doc", F.explode(F.array_distinct(triples)).alias("head")).join(keyed.where("head <> ''").select("query", "head"), "head").select("query", "doc").distinct()
+    wanted = docs.select("doc", F.split("text", r"[ \n]").alias("w")).select("doc", F.explode(F.array_distinct(triples)).alias("head")).join(keyed.select("query", "head"), "head").select("query", "doc").distinct()
     sure = wanted.join(docs, "doc").join(items, "query").where(F.contains("text", F.col("item"))).select("query", "doc")
-    rest = items.where(head(F.col("item")) == "")  # items of fewer than three words or with odd blanks: few, tested against all texts
-    return sure.union(docs.join(F.broadcast(rest.limit(1000)), F.contains("text", F.col("item"))).select("query", "doc"))
+    rest = items.where(~inner)  # items of fewer than three inner tokens, tested against all texts
+    return sure.union(docs.join(rest, F.contains("text", F.col("item"))).select("query", "doc"))
 
 
 @query(f"""WITH {BOOST_CTE}, {GOLD_CTE},

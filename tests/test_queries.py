@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from lexspan.plans import catalog
+from lexspan.plans import catalog, retrieval
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,12 @@ def test_some_results_are_not_empty(spark):
     """Queries whose rules could match nothing on these tables do match something."""
     for name in ("near_dup_leakage", "citation_extract", "entity_extract", "cleaner_v2", "levenshtein_suggest"):
         assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0, name
+
+
+def test_gold_is_containment_whatever_surrounds_the_item(spark, tmp_path):
+    items = [(0, "one two three four five six"), (1, "red green blue"), (2, "a  b\nc d e"), (3, None)] + [(10 + i, f"s{i}z") for i in range(1500)]
+    texts = ['he said "one two three four five six" twice', "(one two three four five six).", "x\tone two three four five six\ry", "red green blue.", "za  b\nc d ef", "a b c d e", None, " ".join(f"s{i}z" for i in range(1500))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, retrieval.gold(spark, str(tmp_path)).collect()))
+    assert got == sorted((q, d) for q, i in items for d, t in enumerate(texts) if i is not None and t is not None and i in t)
