@@ -7,12 +7,14 @@ Search. If two fingerprints differ in at most 3 of 64 bits, one of their two 32-
 in at most 1. So each word has a tree of its own with radius 1: inner nodes hold a vantage point
 and the median Hamming distance to it, and by the triangle inequality a query at distance d has to
 look below the median only if d - 1 <= median and above it only if d + 1 > median. The upper
-levels, fitted on a bounded sample (``SAMPLE`` points by hash order), deal all points to shards:
-each point lives in one, and visits those that its radius overlaps. Inside a shard the tree goes on
-over all its points down to small blocks, where pairs are compared exactly. Shards over
-``HOME_POINTS`` or ``VISIT_POINTS`` are cut into a grid of cells by hash, so no task grows with a
-hot region. A cell gives the edges of a spanning forest of its links, not all pairs, which keeps
-every component and is linear in its points.
+levels deal all points to shards of about ``SHARD_POINTS``: each point lives in one, and visits those
+that its radius overlaps. They are fitted on a sample of ``SHARD_SAMPLE`` points a shard, so the depth
+grows with the points, up to ``MAX_SHARDS`` shards (2 billion points), which bounds the sample that the
+driver sees to 2**20 fingerprints. Inside a shard the tree goes on over all its points down to small
+blocks, where pairs are compared exactly. A shard that still holds over ``HOME_POINTS`` or
+``VISIT_POINTS`` (a hot region) is cut into a grid of cells by hash, so no task grows with it. A cell
+gives the edges of a spanning forest of its links, not all pairs, which keeps every component and is
+linear in its points.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and link like
 any other; a null id takes part and gets its group's smallest id; rows that repeat an id are texts
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import BLANKS, materialise, words_of
 from .components import connected_components
+from .word_hash import hash_words, mix, separators
 
-SAMPLE = 4096
-SHARD_POINTS, MAX_SHARDS = 16384, 512
+SHARD_POINTS, MAX_SHARDS, SHARD_SAMPLE = 16384, 1 << 17, 8
+#: Points that even the smallest tree is fitted on.
+LEAST_SAMPLE = 4096
 HOME_POINTS, VISIT_POINTS = 65536, 262144
 #: Pairs compared at once inside a cell.
 BLOCK = 1 << 20
@@ -208,8 +213,8 @@ def find_links(points: DataFrame, layout: Layout = EXACT3) -> DataFrame:
     """Edges (a, b) that connect all distinct ``bits`` within the layout's limits as their links do."""
     n = points.count()
     depth = max(0, min(int(math.log2(MAX_SHARDS)), math.ceil(math.log2(max(1, n / SHARD_POINTS)))))
-    sample = [bytes(r["bits"]) for r in points.orderBy(F.xxhash64("bits"), "bits").limit(SAMPLE).collect()]
-    as_words = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, layout.n_bytes)
+    sample = points.select("bits").orderBy(F.xxhash64("bits"), "bits").limit(max(LEAST_SAMPLE, SHARD_SAMPLE << depth)).toArrow()  # at most SHARD_SAMPLE * MAX_SHARDS rows
+    as_words = np.frombuffer(b"".join(sample.column(0).to_pylist()), np.uint8).reshape(-1, layout.n_bytes)
     trees = [fit_tree(np.ascontiguousarray(as_words[:, 4 * k : 4 * k + 4]).view("<u4").ravel(), depth) for k in range(layout.words)]
     n_shards = 2**depth
 
@@ -258,8 +263,8 @@ def group_components(marked: DataFrame, layout: Layout = EXACT3) -> DataFrame:
     linked = points.join(roots, points["bits"] == roots["node"]).select("bits", "root", "min_id")
     smallest = linked.groupBy("root").agg(F.min("min_id").alias("component_id"))
     by_bits = linked.join(smallest, "root").select("bits", "component_id")
-    final = points.join(by_bits, "bits", "left").select("bits", F.coalesce("component_id", "min_id").alias("component_id"))
-    return marked.join(final, "bits", "left").select("id", "bits", "component_id")
+    final = materialise(points.join(by_bits, "bits", "left").select("bits", F.coalesce("component_id", "min_id").alias("component_id")), "components")
+    return marked.join(final, "bits").select("id", "bits", "component_id")  # two plain shuffles: a large group of copies can be split
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,6 +278,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 WORD_BYTES, SHINGLE_BYTES = 24, 40
 #: Hash buckets in which the shingles of all texts are counted.
 COMMON_BUCKETS = 1 << 18
+#: Bits of the sieve that keeps sets nobody asks for out of a shuffle.
+SIEVE_BITS = 1 << 20
+#: Digests of sets that a task remembers to hand on copies once.
+SEEN_DIGESTS = 200_000
+FIVE = 5
+_BLANKS = separators(BLANKS)
 #: Slack for products that are whole numbers but for rounding.
 ROUNDING = 1e-9
 
@@ -294,103 +305,156 @@ def similarity_layout(similarity: float = 0.8) -> Layout:
 
 
 def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
-    """k independent 64-bit values from each hash (the 64-bit finaliser of MurmurHash3)."""
+    """k independent 64-bit values from each hash."""
     with np.errstate(over="ignore"):
-        x = hashes[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
-        return x ^ (x >> np.uint64(33))
+        return mix(hashes[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def similarity_bits_and_set(text: str | None) -> tuple[bytes, bytes]:
-    words = words_of(text)
-    if not words:
-        return bytes(WORD_BYTES + SHINGLE_BYTES), b""
-    singles = np.unique(shingle_hashes(words, 1))
-    fives = np.unique(shingle_hashes(words, 5))
-    return majority_bits(_spread(singles, WORD_BYTES // 8)) + majority_bits(_spread(fives, SHINGLE_BYTES // 8)), fives.astype("<u8").tobytes()
+def words_and_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, the set of five-word shingles as hashes in ascending order); of fewer words one shingle holds all."""
+    words = hash_words(text.encode("utf-8").lower(), _BLANKS) if text else np.zeros(0, np.uint64)
+    n = max(1, len(words) - FIVE + 1) if len(words) else 0
+    run = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(FIVE, len(words))):
+            run = mix(run * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    return words, np.unique(run)
+
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.md5(shingles.astype("<u8").tobytes()).digest()
 
-def near_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, bits, shingles) of each row: shingles is the set of five-word shingle hashes in ascending order, digest its MD5."""
+
+def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many shingles of all rows, copies included, fall into each of COMMON_BUCKETS hash buckets. It orders the prefixes and decides nothing."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COMMON_BUCKETS, np.int64)
         for batch in batches:
-            bits, sets = zip(*map(similarity_bits_and_set, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "bits", "shingles"])
+            for text in batch.column(0):
+                np.add.at(total, (words_and_shingles(text.as_py())[1] % COMMON_BUCKETS).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, digest binary, bits binary, shingles binary")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COMMON_BUCKETS rows
+    total = np.zeros(COMMON_BUCKETS, np.int64)
+    total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return total
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of points whose sets (point, shingles) have a Jaccard similarity of at least ``similarity``, exactly."""
+def near_fingerprints(docs: DataFrame, common: np.ndarray, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, bits, n, prefix) of each row.
+
+    ``digest`` is the MD5 of the text's set of n five-word shingles, ``prefix`` its first
+    n - ceil(similarity * n) + 1 shingles, rare ones first. Two sets at ``similarity`` or more share at
+    least one shingle of their prefixes, whatever the common order is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def of(text: str | None) -> tuple[bytes, bytes, int, bytes]:
+        words, fives = words_and_shingles(text)
+        n = len(fives)
+        if not n:
+            return set_digest(fives), bytes(WORD_BYTES + SHINGLE_BYTES), 0, b""
+        bits = majority_bits(_spread(np.unique(words), WORD_BYTES // 8)) + majority_bits(_spread(fives, SHINGLE_BYTES // 8))
+        order = np.lexsort((fives, shared.value[(fives % COMMON_BUCKETS).astype(np.int64)]))
+        return set_digest(fives), bits, n, fives[order[: n - math.ceil(similarity * n - ROUNDING) + 1]].astype("<u8").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                ok.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - ROUNDING)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            columns = zip(*(of(t.as_py()) for t in batch.column(1)), strict=True) if len(batch) else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "digest", "bits", "n", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, digest binary, bits binary, n long, prefix binary")
 
-    asked = lambda c: pairs.select(F.col(c).alias("point")).distinct()
-    of = lambda c: sets.join(asked(c), "point", "left_semi").select(F.col("point").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(work, "a long, b long")
 
+def sieve(digests: DataFrame) -> np.ndarray:
+    """SIEVE_BITS bits, of which those at the CRC-32 of a wanted digest are set; at most SIEVE_BITS / 64 rows come to the driver, whatever the input."""
+    place = F.crc32("digest") % SIEVE_BITS
+    words = digests.groupBy(F.floor(place / 64).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(crc32(digest) % {SIEVE_BITS} % 64))")).alias("word")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
 
-def commonness(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall into each of COMMON_BUCKETS hash buckets. It orders the prefixes and decides nothing."""
+
+def shingle_sets(docs: DataFrame, text_col: str, points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(point, shingles) of the ``asked`` points, found again from the texts.
+
+    The sieve lets through the texts that are asked for and few others, so that not all sets are
+    shuffled; a task hands on one of its copies. The joins then are exact.
+    """
+    wanted = points.select("point", "digest").join(asked, "point", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(wanted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COMMON_BUCKETS, np.int64)
+        bits, seen = shared.value, set()
         for batch in batches:
-            for s in batch.column(0):
-                np.add.at(total, (np.frombuffer(s.as_py(), "<u8") % COMMON_BUCKETS).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+            found = []
+            for text in batch.column(0):
+                fives = words_and_shingles(text.as_py())[1]
+                digest = set_digest(fives)
+                at = zlib.crc32(digest) % SIEVE_BITS
+                if int(bits[at >> 6]) >> (at & 63) & 1 and digest not in seen:
+                    found.append((digest, fives.astype("<u8").tobytes()))
+                    if len(seen) < SEEN_DIGESTS:
+                        seen.add(digest)
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["digest", "shingles"])
 
-    rows = sets.select("shingles").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COMMON_BUCKETS rows
-    total = np.zeros(COMMON_BUCKETS, np.int64)
-    total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return total
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "digest binary, shingles binary")
+    return materialise(found.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(wanted, "digest").select("point", "shingles"), "shingle_sets")
 
 
-def prefix_rows(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """(h, point, small, root, n, pos): the first n - ceil(similarity * n) + 1 shingles of each set (point, small, root, shingles), rare ones first.
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str, points: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) of points whose sets have a Jaccard similarity of at least ``similarity``, exactly."""
 
-    Two sets at ``similarity`` or more share at least one of them, whatever the common order is.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                ok.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - ROUNDING)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    sets = shingle_sets(docs, text_col, points, pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct())
+    of = lambda c: sets.select(F.col("point").alias(c), F.col("shingles").alias(f"{c}_set"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(work, "a long, b long")
+
+
+def prefix_rows(labelled: DataFrame) -> DataFrame:
+    """(h, point, small, root, n): a row for each prefix shingle of the points (point, small, root, n, prefix)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                hashes = [np.frombuffer(s.as_py(), "<u8") for s in part.column(3)]
-                sizes = np.array([len(h) for h in hashes], np.int64)
-                kept = np.array([n and n - math.ceil(similarity * n - ROUNDING) + 1 for n in sizes.tolist()], np.int64)
-                first = [h[np.lexsort((h, common[(h % COMMON_BUCKETS).astype(np.int64)]))[:k]] for h, k in zip(hashes, kept.tolist(), strict=True)]
-                at = np.repeat(np.arange(len(part)), kept)
-                pos = np.concatenate([np.arange(k) for k in kept.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), *[part.column(c).take(pa.array(at)) for c in range(3)], pa.array(sizes[at]), pa.array(pos)], names=["h", "point", "small", "root", "n", "pos"])
+                first = [np.frombuffer(s.as_py(), "<i8") for s in part.column(4)]
+                at = pa.array(np.repeat(np.arange(len(part)), [len(h) for h in first]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *[part.column(c).take(at) for c in range(4)]], names=["h", "point", "small", "root", "n"])
 
-    return sets.select("point", "small", "root", "shingles").mapInArrow(work, "h long, point long, small long, root long, n long, pos long")
+    return labelled.select("point", "small", "root", "n", "prefix").mapInArrow(work, "h long, point long, small long, root long, n long")
 
 
 def missing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``prefix_rows``.
 
     Most shingles are of one group only and go before the join. The largest group of a shingle
-    (least ``small``) is never joined with itself. At the first shared shingle, what is left of the
-    shorter rest bounds the intersection.
+    (least ``small``) is never joined with itself. Of two sets, the one whose prefix ends first has
+    none of that prefix in the other's rest; so they share at most the c shingles that their prefixes
+    share, and the whole rest of one of them. Pairs for which that is too little go: most have c
+    near 1, where 0.8 takes a tenth of the set.
     """
     group, by_hash = F.struct("small", "root"), Window.partitionBy("h")
     shared = rows.withColumns({"least": F.min(group).over(by_hash), "most": F.max(group).over(by_hash)}).where("least != most")
-    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n", "pos"), "shared_shingles")
-    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos")])
-    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos")])
-    fits = (F.col("r_of") < F.col("l_of")) & (F.least(F.col("l_n") - F.col("l_pos"), F.col("r_n") - F.col("r_pos")) >= similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
-    return left.join(right, "h").where(fits).select(F.col("l_point").alias("a"), F.col("r_point").alias("b")).distinct()
+    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n"), "shared_shingles")
+    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n")])
+    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n")])
+    sizes = (F.col("r_of") < F.col("l_of")) & (F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING)
+    pairs = left.join(right, "h").where(sizes).groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), "l_n", "r_n").agg(F.count("*").alias("c"))
+    rest = lambda n: F.ceil(similarity * n - ROUNDING) - 1
+    enough = F.col("c") + F.greatest(rest(F.col("l_n")), rest(F.col("r_n"))) >= similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING
+    return pairs.where(enough).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,20 +465,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     of points in different groups that can reach the similarity, and the sets decide again: the
     result does not depend on what the trees find.
     """
-    marked = materialise(near_fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    marked = materialise(near_fingerprints(docs, commonness(docs, text_col), similarity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     points = materialise(marked.groupBy("digest").agg(F.min("row").alias("point"), F.min("id").alias("min_id"), F.first("bits").alias("bits")), "points")
-    sets = marked.withColumnRenamed("row", "point").select("point", "shingles").join(points.select("point"), "point", "left_semi")
     by_bits = materialise(points.groupBy("bits").agg(F.min("point").alias("first")), "points_by_bits")
     end = lambda c: by_bits.select(F.col("bits").alias(f"{c}_bits"), F.col("first").alias(c))
     found = find_links(by_bits, similarity_layout(similarity)).select(F.col("a").alias("a_bits"), F.col("b").alias("b_bits"))
-    proposed = found.join(end("a"), "a_bits").join(end("b"), "b_bits").select("a", "b").union(points.join(by_bits, "bits").where("point != first").select("first", "point"))
-    groups = materialise(connected_components(verified(materialise(proposed, "proposed"), sets, similarity)), "groups")
+    proposed = found.join(end("a"), "a_bits").join(end("b"), "b_bits").select("a", "b").union(points.join(by_bits, "bits").where("point != first").select(F.col("first").alias("a"), F.col("point").alias("b")))
+    groups = materialise(connected_components(verified(materialise(proposed.distinct(), "proposed"), docs, text_col, points, similarity)), "groups")
     sizes = groups.groupBy("root").agg((-F.count("*")).alias("small"))
-    labelled = sets.join(groups.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left").withColumns({"small": F.coalesce("small", F.lit(-1)), "root": F.coalesce("root", "point")})
-    rest = materialise(missing_pairs(prefix_rows(labelled, commonness(sets), similarity), similarity), "missing_pairs")
-    links = verified(rest, sets, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = connected_components(links).withColumnRenamed("node", "point")
-    named = points.join(roots, "point", "left").select("digest", "min_id", F.coalesce("root", "point").alias("root"))
-    named = materialise(named, "named")
-    final = named.join(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("digest", "component_id")
+    labels = points.select("point").join(groups.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left").select("point", F.coalesce("small", F.lit(-1)).alias("small"), F.coalesce("root", "point").alias("root"))
+    labelled = marked.select(F.col("row").alias("point"), "n", "prefix").join(materialise(labels, "labels"), "point")
+    rest = materialise(missing_pairs(prefix_rows(labelled), similarity), "missing_pairs")
+    links = verified(rest, docs, text_col, points, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "point")
+    named = materialise(points.join(roots, "point", "left").select("digest", "min_id", F.coalesce("root", "point").alias("root")), "named")
+    final = materialise(named.join(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("digest", "component_id"), "components")
     return marked.select("id", "digest").join(final, "digest").select(F.col("id").alias(id_col), "component_id")
