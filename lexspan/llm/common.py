@@ -42,6 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text with A-Z lower-cased, as UTF-8; ``bytes.split`` splits at exactly BLANKS."""
     return text.encode("utf-8").lower().split() if text else []

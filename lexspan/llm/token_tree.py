@@ -6,6 +6,8 @@ their numbers of characters and tokens; inner nodes hold sums. An edit walks dow
 splits anew only from the last pre-token border at least two characters before it (what the pattern
 can look ahead past a border) to the first border that the old split also had, re-encodes those
 pre-tokens and updates the sums above the leaves it touched. Text beyond that border splits as before.
+A leaf that edits have grown to over twice its size is split in place; whatever the size of an edit or
+of a pre-token, the rest of the document is not encoded again.
 
 The tree is kept as two columns, characters and tokens by leaf, next to the text; a leaf's own
 pre-tokens are found again from its text when an edit comes near. Work is row by row, without a shuffle
@@ -33,6 +35,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import private
+
 LEAF = 16
 #: Borders this close to the end of what was read may move with what follows.
 AHEAD = 8
@@ -191,38 +195,40 @@ class TokenTree:
                 pieces, stop = self.tok.pattern.findall(new), before + len(window_old)
                 break
             last += 1
-        self.reencoded += len(pieces)
-        head = self.texts[first][:keep]
-        head_tokens = sum(self.tok.count(self.texts[first][a:b]) for a, b in zip(ends, ends[1:], strict=False) if b <= keep)
+        head = [self.texts[first][a:b] for a, b in zip(ends, ends[1:], strict=False) if b <= keep]
         # The suffix of the leaf that holds the common border stays; the leaves between are emptied.
         holder, holder_before = self.leaf_at(stop)
         holder = max(holder, first)
-        if holder == first:
-            rest = self.texts[first][stop - before :]
-            rest_tokens = self.count_leaf(rest, holder)
-            self.set_leaf(first, head + "".join(pieces) + rest, head_tokens + sum(map(self.tok.count, pieces)) + rest_tokens)
-        else:
-            rest = self.texts[holder][stop - holder_before :]
-            rest_tokens = self.count_leaf(rest, holder)
+        rest = self.pieces_of(self.texts[holder][stop - (before if holder == first else holder_before) :], holder)
+        self.reencoded += len(head) + len(pieces) + len(rest)
+        own = [*head, *pieces, *rest] if holder == first else [*head, *pieces]
+        if holder != first:
             for k in range(first + 1, holder):
                 if self.texts[k]:
                     self.set_leaf(k, "", 0)
-            self.set_leaf(holder, rest, rest_tokens)
-            self.set_leaf(first, head + "".join(pieces), head_tokens + sum(map(self.tok.count, pieces)))
-        if len(pieces) > 16 * LEAF or len(self.texts[first]) > 1 << 14:  # a leaf that edits have blown up: the tree is laid out anew
-            fresh = TokenTree.build(self.tok, self.text())
-            self.__dict__.update(fresh.__dict__ | {"reencoded": self.reencoded, "updated": self.updated + 2 * fresh.width})
+            self.set_leaf(holder, "".join(rest), sum(map(self.tok.count, rest)))
+        if len(own) > 2 * LEAF:
+            self.split_leaf(first, own)
+        else:
+            self.set_leaf(first, "".join(own), sum(map(self.tok.count, own)))
+
+    def split_leaf(self, leaf: int, pieces: list[str]) -> None:
+        """Puts leaves of LEAF pre-tokens in the place of one; the other leaves move with their sums, and empty ones go. Nothing else is encoded."""
+        counts = list(map(self.tok.count, pieces))
+        cuts = range(0, len(pieces), LEAF)
+        leaves = list(zip(self.texts, self.tokens[self.width :], strict=False))
+        leaves[leaf : leaf + 1] = [("".join(pieces[k : k + LEAF]), sum(counts[k : k + LEAF])) for k in cuts]
+        kept = [x for x in leaves if x[0]]
+        fresh = TokenTree(self.tok, [t for t, _ in kept], [n for _, n in kept])
+        self.__dict__.update(fresh.__dict__ | {"reencoded": self.reencoded, "updated": self.updated + 2 * fresh.width})
 
     def tok_pieces(self, text: str) -> int:
         return len(self.tok.pattern.findall(text))
 
-    def count_leaf(self, rest: str, leaf: int) -> int:
-        """Tokens of the end of a leaf from a border on; its pre-tokens were known, so their counts are looked up."""
-        at, total = 0, 0
-        for e in self.borders(rest, "".join(self.texts[leaf + 1 : leaf + 3])[:64]) if rest else ():
-            total += self.tok.count(rest[at : min(e, len(rest))])
-            at = e
-        return total
+    def pieces_of(self, rest: str, leaf: int) -> list[str]:
+        """Pre-tokens of the end of a leaf from a border on."""
+        ends = [0, *self.borders(rest, "".join(self.texts[leaf + 1 : leaf + 3])[:64])] if rest else [0]
+        return [rest[a : min(b, len(rest))] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def default_vocabulary() -> str:
@@ -248,7 +254,7 @@ def build_trees(docs: DataFrame, text_col: str = "text", vocabulary: str | None
 
 
 def apply_edits(trees: DataFrame, text_col: str = "text", edits_col: str = "edits", vocabulary: str | None = None, edits_of: Callable[[str | None], list[dict[str, int | str]]] | None = None) -> DataFrame:
-    """The edits are a column of arrays (at, drop, put), or what ``edits_of`` makes of a text. Gives ``trees`` with text, leaves and n_tokens as the edits leave them, and n_tokens_before, n_edits, n_reencoded (pre-tokens) and n_nodes (updated)."""
+    """The edits are a column of arrays (at, drop, put), or what ``edits_of`` makes of a text. Gives ``trees`` with text, leaves and n_tokens as the edits leave them, and n_tokens_before, n_edits, n_reencoded (pre-tokens of the touched leaves, counted anew) and n_nodes (updated)."""
     path = vocabulary or default_vocabulary()
     rest = trees.drop("n_tokens_before", "n_edits", "n_reencoded", "n_nodes", "n_chars")
     added = ("n_chars", "n_tokens_before", "n_edits", "n_reencoded", "n_nodes")
@@ -289,9 +295,10 @@ def apply_edits(trees: DataFrame, text_col: str = "text", edits_col: str = "edit
 
 def attach_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the edits of a table (id, seq, at, drop, put) as an array in the order of seq; a document's edits are held together."""
-    listed = edits.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "drop", "put"))).alias("__e"))
-    array = F.transform("__e", lambda e: F.struct(e["at"].alias("at"), e["drop"].alias("drop"), e["put"].alias("put")))
-    return docs.join(listed, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("edits", array).drop("__id", "__e")
+    own_id, own_edits = private(docs, "id", "edits")
+    listed = edits.groupBy(F.col(id_col).alias(own_id)).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "drop", "put"))).alias(own_edits))
+    array = F.transform(own_edits, lambda e: F.struct(e["at"].alias("at"), e["drop"].alias("drop"), e["put"].alias("put")))
+    return docs.join(listed, F.col(id_col).eqNullSafe(F.col(own_id)), "left").withColumn("edits", array).drop(own_id, own_edits)
 
 
 # Clean-up edits: what a masking pass would change.

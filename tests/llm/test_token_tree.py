@@ -41,6 +41,16 @@ def test_long_texts_and_locality():
     assert tree.reencoded < 60 * 3 * tt.LEAF
 
 
+def test_long_pre_tokens_and_large_edits_leave_the_rest_alone():
+    rng = random.Random(6)
+    text = "some words before it " * 400 + "q" * 20_000 + " and some words after it" * 400
+    at = text.index("qqq")
+    tree = check(text, [(at - 3, 0, "x"), (at + 20_010, 1, ""), (at - 5, 1, "y"), (at + 9_000, 0, " "), (at - 2, 2, "zz")])
+    assert tree.reencoded < 5 * 4 * tt.LEAF
+    tree = check(text[:5000], [(2500, 0, " ".join(rng.choice(["new", "words", "12"]) for _ in range(900))), (2600, 3, "a"), (10, 1, "b")])
+    assert tree.reencoded < 2 * 900 + 12 * tt.LEAF and max(len(TOK.split(t)) for t in tree.texts) <= 2 * tt.LEAF
+
+
 def test_operator_against_whole_encoding(spark):
     rows = [(1, "Mail a.b@c.org now\nor 10.0.0.1 ### end", "x"), (2, None, "y"), (3, "", None), (3, "plain text", "z"), (None, "call +49 30 1234567 $$$$ " * 90, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
