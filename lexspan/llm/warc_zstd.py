@@ -4,16 +4,17 @@ A dictionary is built from archived records, embedded in a leading skippable fra
 archive, and each record is a frame of its own, so any record can be read alone. Records whose
 payload (of at least ``min_revisit`` bytes) an earlier record holds are written as revisits.
 
-The dictionary is fitted on a bounded sample: the ``DICT_RECORDS`` distinct payloads of at most
-``DICT_RECORD_BYTES`` bytes that come first in hash order; all other work covers all rows. A task
+The dictionary is fitted on a bounded sample of records: those of the ``DICT_RECORDS`` distinct payloads
+of at most ``DICT_RECORD_BYTES`` bytes that come first in hash order; all other work covers all rows. A task
 holds one record at a time, buffers one archive of at most about ``ARCHIVE_BYTES``, writes it
 under a name of its own attempt and reports it; archives of lost attempts are in no report and are
-not read. Only slim rows (digest, id) are grouped; the payloads are shuffled only if the repeated
-digests are too many to broadcast.
+not read. Only slim rows (digest, id) are grouped. Repeated digests go to all tasks if they are few, and
+are joined by a shuffle otherwise.
 
 Defined results: a null payload is empty; of equal payloads the smallest id is the response, rows
 that repeat that id are responses too, and a null id is the response only if no row has an id; a
-null url leaves out the target header; an empty table gives no archive.
+null url leaves out the target header; rows that repeat id and payload are one record twice and share
+its Record-ID; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ARCHIVE_BYTES = 8 << 20
 #: Repeated digests up to this number (some 100 bytes each) are broadcast; beyond it the join is shuffled.
 BROADCAST_DIGESTS = 50_000
 MIN_REVISIT = 100
+#: Hadoop's names of stores that Arrow calls otherwise.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasbs": "abfss"}
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -123,9 +126,12 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     slim = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c"))
     repeated = materialise(slim.where("c > 1").drop("c"), "repeated_digests")
-    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    joined = rows.join(side, "payload_digest", "left")
+    if repeated.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(repeated), "payload_digest", "left")
+    else:  # payloads too short for revisits take no part: empty pages do not meet in one task
+        alone = rows.where(F.col("payload_bytes") < min_revisit).withColumn("first_id", F.lit(None).cast(repeated.schema["first_id"].dataType))
+        joined = rows.where(F.col("payload_bytes") >= min_revisit).join(repeated, "payload_digest", "left").unionByName(alone)
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}).drop("first_id")
 
 
@@ -133,7 +139,8 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
     """Writes ``folder``/*.warc.zst and returns the written report: archive (file name), n_records, n_bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        scheme, colon, path = folder.partition(":")
+        store, root = fs.FileSystem.from_uri(ARROW_SCHEMES.get(scheme, scheme) + colon + path)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
         mine = f"part-{task.partitionId():05d}-{task.taskAttemptId()}"
@@ -167,20 +174,22 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
     return materialise(ordered.mapInArrow(work, "archive string, n_records long, n_bytes long"), "archive_report")
 
 
-def sample_payloads(pages: DataFrame) -> list[bytes]:
+def sample_records(pages: DataFrame) -> list[bytes]:
     """The bounded sample that the dictionary is fitted on. Hashes alone decide it, so a task sends the driver few bytes, and copies count once."""
     size = F.octet_length("html")
-    small = pages.where((size >= MIN_REVISIT) & (size <= DICT_RECORD_BYTES)).select("html", F.xxhash64("html").alias("h"))
+    small = pages.where((size >= MIN_REVISIT) & (size <= DICT_RECORD_BYTES)).select("html", "page_id", "url", F.xxhash64("html").alias("h"))
     least = [r["h"] for r in small.select("h").distinct().orderBy("h").limit(DICT_RECORDS).collect()]
     if not least:
         return []
-    return sorted(r["html"].encode() for r in small.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("html").alias("html")).collect())
+    rows = small.where(F.col("h") <= max(least)).groupBy("h").agg(F.min(F.struct("html", "page_id", "url")).alias("r")).select("r.*").collect()  # DICT_RECORDS rows
+    payloads = sorted((r["html"].encode(), r["page_id"] or 0, r["url"]) for r in rows)
+    return [record_bytes({"page_id": page, "url": url, "payload": p, "payload_bytes": len(p), "payload_digest": hashlib.sha256(p).hexdigest(), "record_type": "response"}) for p, page, url in payloads]
 
 
 def write_warc(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     """Archives every row; (folder, report)."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return folder, write_archives(mark_revisits(pages), folder, train_dictionary(sample_payloads(pages)))
+    return folder, write_archives(mark_revisits(pages), folder, train_dictionary(sample_records(pages)))
 
 
 def read_warc(spark: SparkSession, folder: str, report: DataFrame, payloads: bool = True) -> DataFrame:
