@@ -9,9 +9,10 @@ uniform random order without a sampling pass.
 Only the counts of the sources named in the weights, and one for all others, come to the driver.
 A source in the weights without rows is left out and the other shares keep their ratios.
 
-Defined results: a null source is among the others; a null id hashes like an empty one; rows that
-repeat an id get equal counts; an empty table gives an empty table; ``rate``, ``n_copies``,
-``copy`` and ``shuffle_key`` replace columns of the same name. Rates have no bound; a caller that
+Defined results: a null source is among the others; a row with a null id is drawn and dealt by its
+text; rows that repeat an id get equal counts and lie side by side, ordered by a hash of the row; an
+empty table gives an empty table; ``rate``, ``n_copies``, ``copy`` and ``shuffle_key`` replace columns
+of the same name. Rates have no bound; a caller that
 gives ``max_rate`` lowers larger ones to it and loses that part of the target.
 """
 
@@ -24,6 +25,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import private
+
 #: Key of all sources that the weights do not name.
 OTHERS = "*"
 #: The production mixture: the twenty sources in equal shares, any others together as much as one.
@@ -35,6 +38,8 @@ DRAW_RATE = 64.0
 
 def poisson_steps(rate: float) -> list[float]:
     """The distribution function at 0, 1, 2, ... until it is 1 in double precision; a point's count is how many steps it has passed."""
+    if rate > 700:
+        raise ValueError("exp(-rate) is 0: take the sum of smaller draws")
     steps, term, total, k = [], math.exp(-rate), 0.0, 0
     while True:
         total += term
@@ -63,7 +68,7 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float], source_col: str
     return rates if max_rate is None else {k: min(max_rate, r) for k, r in rates.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", size: float = 1.0, seed: str = SEED, max_rate: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: float = 1.0, seed: str = SEED, max_rate: float | None = None) -> DataFrame:
     """``docs`` repeated to the target weights in a global random order, with rate, n_copies, copy (from 1) and shuffle_key."""
     rates = target_rates(docs, weights, source_col, size, max_rate)
     named = [k for k in weights if k != OTHERS]
@@ -73,12 +78,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col:
     rate = by_key({k: F.lit(r) for k, r in rates.items()}, F.lit(0.0))
     steps = by_key({k: F.array(*map(F.lit, poisson_steps(r / draws[k]))) for k, r in rates.items()}, F.array(F.lit(1.0)))
     n_draws = by_key({k: F.lit(n).cast("long") for k, n in draws.items()}, F.lit(1).cast("long"))
-    counted = docs.withColumns({"rate": rate, "__point": hashed_point(F.lit(seed), F.col(id_col)), "__steps": steps, "__draws": n_draws})
+    own_point, own_steps, own_draws, own_key = private(docs, "point", "steps", "draws", "key")
+    of_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))) if text_col in docs.columns else F.lit("")
+    ident = F.coalesce(F.col(id_col).cast("string"), of_text)
+    counted = docs.withColumns({own_key: ident, "rate": rate, own_point: hashed_point(F.lit(seed), ident), own_steps: steps, own_draws: n_draws})
     zero = F.lit(0).cast("long")
-    passed = lambda point: F.aggregate("__steps", F.struct(point.alias("u"), zero.alias("n")), lambda s, x: F.struct(s["u"].alias("u"), (s["n"] + (x <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
-    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), "__draws"), zero, lambda n, j: n + passed(hashed_point(F.concat(F.lit(seed + "/"), j.cast("string")), F.col(id_col))))
-    n_copies = F.when(F.col("__draws") == 1, passed(F.col("__point"))).otherwise(summed)
+    passed = lambda point: F.aggregate(own_steps, F.struct(point.alias("u"), zero.alias("n")), lambda s, x: F.struct(s["u"].alias("u"), (s["n"] + (x <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
+    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), own_draws), zero, lambda n, j: n + passed(hashed_point(F.concat(F.lit(seed + "/"), j.cast("string")), F.col(own_key))))
+    n_copies = F.when(F.col(own_draws) == 1, passed(F.col(own_point))).otherwise(summed)
     copies = counted.withColumn("n_copies", n_copies).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    shuffle_key = F.md5(F.concat_ws("#", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    out = copies.drop("__point", "__steps", "__draws").withColumn("shuffle_key", shuffle_key)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = copies.withColumn("shuffle_key", F.md5(F.concat_ws("#", F.lit(seed), F.col(own_key), F.col("copy").cast("string")))).drop(own_point, own_steps, own_draws, own_key)
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in out.schema if "map<" not in f.dataType.simpleString()])
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", tie)
