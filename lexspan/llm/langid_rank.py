@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import private
+
 PROFILE = 600
 MAX_LANGS = 1000
 UNDETERMINED = "und"
@@ -36,7 +38,7 @@ def letter_table() -> np.ndarray:
     """For each code point its lower-case letter, 0 for what is no letter; built once a process."""
     if not _letters:
         table = np.zeros(0x110000, np.uint32)
-        for c in range(0x30000):  # no letters beyond the third plane
+        for c in range(0x110000):
             if (ch := chr(c)).isalpha():
                 low = ch.lower()
                 table[c] = ord(low) if len(low) == 1 else c
@@ -132,14 +134,15 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.names.index("__text")
+            k = batch.schema.names.index(own)
             found = [predict(t.as_py()) for t in batch.column(k)]
             cols = [c for i, c in enumerate(batch.columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*(n for n in batch.schema.names if n != "__text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*(n for n in batch.schema.names if n != own), "lang_pred", "score"])
 
     rest = docs.drop("lang_pred", "score")
+    own = private(rest, "text")[0]
     schema = rest.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rest.withColumn("__text", F.col(text_col)).mapInArrow(work, schema)
+    return rest.withColumn(own, F.col(text_col)).mapInArrow(work, schema)
 
 
 def held_out(id_col: Column, parts: int = 3, part: int = 1) -> Column:
