@@ -85,29 +85,29 @@ def _covered(positions: Column) -> Column:
 
 def measure_quality(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines and n_repeat_words."""
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.withColumns(
-        {
-            "__words": F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)),
-            "__lines": F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD)),
-            "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"),
-        }
+    kept = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in MEASURES]
+    # The input's columns go along in a struct, so that none can clash with the helpers.
+    packed = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
+    first = packed.select(
+        "row",
+        F.regexp_extract_all("whole", F.lit(WORD), F.lit(0)).alias("words"),
+        F.filter(F.split("whole", "\n", -1), lambda line: line.rlike(WORD)).alias("lines"),
+        F.regexp_count("whole", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     second = first.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(*stop_words))).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__hashes": _window_hashes(F.col("__words")),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_stop_words": F.size(F.filter("words", lambda w: F.lower(w).isin(*stop_words))).cast("long"),
+            "n_lines": F.size("lines").cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+            "hashes": _window_hashes(F.col("words")),
         }
     )
-    third = second.withColumn("__positions", _repeated_positions(F.col("__words"), F.col("__hashes")))
-    fourth = third.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__positions")), F.lit(0).cast("long")))
+    third = second.withColumn("positions", _repeated_positions(F.col("words"), F.col("hashes")))
+    fourth = third.withColumn("n_repeat_words", F.coalesce(_covered(F.col("positions")), F.lit(0).cast("long")))
     # Filters on the measures stop at an explode of one row; pushed into the projections above they would compute each measure anew wherever they name it.
-    rest = [c for c in fourth.columns if c not in MEASURES and not c.startswith("__")]
-    return fourth.select(*rest, F.explode(F.array(F.struct(*MEASURES))).alias("__m")).select(*rest, "__m.*")
+    return fourth.select("row", F.explode(F.array(F.struct(*MEASURES))).alias("m")).select("row.*", "m.*")
 
 
 def compile_thresholds(table: Sequence[Threshold] = THRESHOLDS) -> tuple[Column, Column]:
