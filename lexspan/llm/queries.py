@@ -35,9 +35,9 @@ def op1_chat_prefix_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = rf"""
-WITH c AS (
+WITH c AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
+  UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}')),
 e AS (
   SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]|ROLE\]))', '\1\\\2', 'g')) AS n,
          length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]|ROLE\]))', '\1\\\2', 'g')) AS r
@@ -47,8 +47,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 21 + r END)::BIGINT AS formatted_chars,
-       0::BIGINT AS rewritten_turns
-FROM e GROUP BY conv_id
+       0::BIGINT AS rewritten_turns, 0::BIGINT AS unlocated_turns
+FROM e GROUP BY conv_id, alone
 """
 
 
@@ -77,15 +77,16 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH w(key, weight) AS (VALUES {", ".join(f"('{k}', {v!r})" for k, v in WEIGHTS.items())}),
+i AS (SELECT *, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS ident FROM documents),
 d AS (SELECT *, CASE WHEN source IN (SELECT key FROM w WHERE key <> '{OTHERS}') THEN source ELSE '{OTHERS}' END AS key,
-        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-      FROM documents),
+        ('0x' || substr(md5('{SEED}:' || ident), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM i),
 n AS (SELECT key, count(*) AS n FROM d GROUP BY key),
-r AS (SELECT key, least(64.0::DOUBLE, weight::DOUBLE / sum(weight::DOUBLE) OVER () * sum(n) OVER () / n) AS rate FROM n JOIN w USING (key)),
+r AS (SELECT key, weight::DOUBLE / sum(weight::DOUBLE) OVER () * sum(n) OVER () / n AS rate FROM n JOIN w USING (key)),
 pmf AS (SELECT key, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, range(0, 400) AS t(k)),
 cdf AS (SELECT key, k, sum(p) OVER (PARTITION BY key ORDER BY k) AS c FROM pmf),
 x AS (SELECT d.*, rate, (SELECT count(*) FROM cdf WHERE cdf.key = d.key AND cdf.c <= d.u AND cdf.c < 0.9999999999999) AS n_copies FROM d JOIN r USING (key))
-SELECT doc_id, text, lang, source, n_chars, rate, n_copies, copy, md5('{SEED}#' || coalesce(doc_id::VARCHAR, '') || '#' || copy::VARCHAR) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, rate, n_copies, copy, md5('{SEED}#' || ident || '#' || copy::VARCHAR) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM x)
 """
 
@@ -107,15 +108,17 @@ def op6_decontam_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-def _listed(patterns: DataFrame, salt: str) -> DataFrame:
-    """A dated list log drawn from the patterns themselves: two of three are added, most are removed later, half come back."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(salt), "pattern")), 1, 8), 16, 10).cast("bigint")
+def _listed(patterns: DataFrame) -> DataFrame:
+    """A dated list log drawn from the (level, pattern) rows: two of three are listed, most are removed later, half come back, a quarter is listed in a second category meanwhile."""
+    h = F.conv(F.substring(F.md5(F.concat("level", "pattern")), 1, 8), 16, 10).cast("bigint")
     begin = F.date_add(F.to_date(F.lit("2024-01-01")), (h % 200).cast("int"))
     end = F.date_add(begin, (20 + F.floor(h / 7) % 90).cast("int"))
     again = F.date_add(end, (10 + F.floor(h / 11) % 40).cast("int"))
     category = F.when(h % 5 < 3, "spam").otherwise("adult")
-    entry = lambda day, action: F.struct(day.alias("listed_on"), F.lit(action).alias("action"), category.alias("category"))
-    log = F.concat(F.array(entry(begin, "add")), F.when(h % 4 > 0, F.array(entry(end, "remove"))).otherwise(F.array()), F.when(h % 4 > 1, F.array(entry(again, "add"))).otherwise(F.array()))
+    entry = lambda day, action, c: F.struct(day.alias("listed_on"), F.lit(action).alias("action"), c.alias("category"))
+    some = lambda test, *found: F.when(test, F.array(*found)).otherwise(F.array())
+    other = F.lit("malware")
+    log = F.concat(F.array(entry(begin, "add", category)), some(h % 4 > 0, entry(end, "remove", category)), some(h % 4 > 1, entry(again, "add", category)), some(h % 4 == 3, entry(F.date_add(begin, 5), "add", other), entry(F.date_add(end, 30), "remove", other)))
     return patterns.where(h % 3 > 0).select("pattern", F.explode(log).alias("e")).select("pattern", "e.*")
 
 
@@ -123,35 +126,41 @@ def op7_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the list as it stood on the page's fetch date; list and dates are drawn from the urls and ids."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_on", F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod("page_id", F.lit(366)).cast("int")))
-    found = url_patterns(F.col("url"))
-    entries = [_listed(pages.select(found[k].alias("pattern")).where("pattern IS NOT NULL").distinct(), k) for k in ("path", "host", "parent")]
-    return temporal_filter(captures, entries[0].unionByName(entries[1]).unionByName(entries[2]))
+    patterns = pages.select(F.explode(url_patterns(F.col("url"))).alias("e")).select("e.*").where("pattern IS NOT NULL").distinct()
+    return temporal_filter(captures, _listed(patterns))
 
 
 OP7_SQL = r"""
 WITH c AS (
   SELECT page_id, url, (DATE '2024-01-01' + ((page_id % 366 + 366) % 366)::INT)::DATE AS fetched_on,
          nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '') AS host,
-         nullif(regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1), '') AS seg
+         list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs
   FROM pages),
-k AS (SELECT *, host || '/' || seg AS path, nullif(regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1), '') AS parent FROM c),
-p AS (SELECT DISTINCT 'path' AS salt, path AS pattern FROM k UNION SELECT 'host', host FROM k UNION SELECT 'parent', parent FROM k),
-h AS (SELECT pattern, ('0x' || substr(md5(salt || pattern), 1, 8))::BIGINT AS h FROM p WHERE pattern IS NOT NULL),
+k AS (
+  SELECT *, list_concat(list_concat(
+           list_transform(range(len(segs), 0, -1), lambda k: {'level': 'path', 'pattern': host || '/' || array_to_string(segs[1:k], '/')}),
+           [{'level': 'host', 'pattern': host}]),
+           list_transform(CASE WHEN regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') THEN range(0) ELSE range(2, len(string_split(host, '.'))) END,
+                          lambda i: {'level': 'parent', 'pattern': array_to_string(string_split(host, '.')[i:], '.')})) AS found
+  FROM c),
+r AS (SELECT page_id, url, fetched_on, host, rank, found[rank].level AS level, found[rank].pattern AS want FROM (SELECT *, unnest(range(1, len(found) + 1)) AS rank FROM k WHERE host IS NOT NULL)),
+h AS (SELECT pattern, ('0x' || substr(md5(level || pattern), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT level, want AS pattern FROM r)),
 b AS (SELECT *, (DATE '2024-01-01' + (h % 200)::INT)::DATE AS d1 FROM h WHERE h % 3 > 0),
 e AS (SELECT *, (d1 + (20 + (h // 7) % 90)::INT)::DATE AS d2 FROM b),
 a AS (SELECT *, (d2 + (10 + (h // 11) % 40)::INT)::DATE AS d3, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'adult' END AS category FROM e),
 log AS (SELECT pattern, category, d1 AS listed_on, 'add' AS action FROM a
         UNION SELECT pattern, category, d2, 'remove' FROM a WHERE h % 4 > 0
-        UNION SELECT pattern, category, d3, 'add' FROM a WHERE h % 4 > 1),
-spans AS (SELECT * FROM (SELECT pattern, category, action, listed_on AS listed_from, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on, action, category) AS listed_to FROM log)
+        UNION SELECT pattern, category, d3, 'add' FROM a WHERE h % 4 > 1
+        UNION SELECT pattern, 'malware', (d1 + 5)::DATE, 'add' FROM a WHERE h % 4 = 3
+        UNION SELECT pattern, 'malware', (d2 + 30)::DATE, 'remove' FROM a WHERE h % 4 = 3),
+spans AS (SELECT * FROM (SELECT pattern, category, action, listed_on AS listed_from, lead(listed_on) OVER (PARTITION BY pattern, category ORDER BY listed_on, action) AS listed_to FROM log)
           WHERE action = 'add' AND (listed_to IS NULL OR listed_to > listed_from)),
-hits AS (
-  SELECT page_id, url, fetched_on, host, s.*, l.level, l.rank
-  FROM k CROSS JOIN LATERAL (VALUES ('path', 1, k.path), ('host', 2, k.host), ('parent', 3, k.parent)) AS l(level, rank, want)
-  LEFT JOIN spans s ON s.pattern = l.want AND s.listed_from <= fetched_on AND (s.listed_to IS NULL OR fetched_on < s.listed_to))
-SELECT page_id, url, fetched_on, host, pattern IS NOT NULL AS blocked, CASE WHEN pattern IS NOT NULL THEN level END AS level,
-       pattern, category, listed_from, listed_to
-FROM hits QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pattern IS NULL, rank) = 1
+best AS (
+  SELECT DISTINCT url, fetched_on, level, pattern, category, listed_from, listed_to
+  FROM r JOIN spans s ON s.pattern = r.want AND s.listed_from <= fetched_on AND (s.listed_to IS NULL OR fetched_on < s.listed_to)
+  QUALIFY dense_rank() OVER (PARTITION BY url, fetched_on ORDER BY rank, category) = 1)
+SELECT c.page_id, c.url, c.fetched_on, c.host, pattern IS NOT NULL AS blocked, level, pattern, category, listed_from, listed_to
+FROM c LEFT JOIN best USING (url, fetched_on)
 """
 
 

@@ -64,6 +64,25 @@ def test_a_template_that_rewrites_history_is_found(spark):
     out = chat_render.render_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Rewriting()).orderBy("turn").collect()
     assert [r["rewrites"] for r in out] == [False, False, False, True, False, True]
     assert out[3]["loss_start"] is None and out[1]["loss_start"] is not None
+    df = spark.createDataFrame([*rows, (2, 0, "user", "q"), (2, 1, "assistant", "a"), (None, 0, "user", "x"), (None, 1, "assistant", "y" * 300_000)], "conv_id long, turn long, role string, text string")
+    read = chat_render.read_back(chat_render.render_conversations(df, Rewriting()), Rewriting()).collect()
+    by = {(r["conv_id"], r["n_turns"]): r for r in read if r["conv_id"] is not None}
+    assert by[1, 6]["turns_sha256"] is None and by[1, 6]["rewritten_turns"] == 2 and by[2, 2]["loss_chars"] == 1
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in read if r["conv_id"] is None) == [(1, 0), (1, 300_000)]
+
+
+class Twice(chat_render.InstTemplate):
+    """Says each text twice, so that a probe cannot tell its place."""
+
+    def render(self, turns):
+        return super().render([(r, f"{t}|{t}") for r, t in turns])
+
+
+def test_texts_that_cannot_be_located_are_flagged(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    out = chat_render.render_conversations(df, Twice()).orderBy("turn").collect()
+    assert [(r["unlocated"], r["loss_start"]) for r in out] == [(False, None), (True, None)]
+    assert chat_render.read_back(chat_render.render_conversations(df, Twice()), Twice()).first()["unlocated_turns"] == 1
 
 
 # WARC
@@ -92,6 +111,19 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc_zstd.read_warc(spark, *empty).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_both_joins_mark_the_same_revisits(spark, monkeypatch, most):
+    monkeypatch.setattr(warc_zstd, "BROADCAST_DIGESTS", most)
+    long, short = "<p>" + "gleich " * 40, "kurz"
+    rows = [(i, "u", long if i % 3 else f"{long}{i}") for i in range(30)] + [(40 + i, None, short if i % 2 else None) for i in range(20)] + [(90, "w", "x" * 400_000)]
+    got = warc_zstd.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(i, 1) for i in range(2, 30) if i % 3}
+    folder, report = warc_zstd.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    back = warc_zstd.read_warc(spark, folder, report).collect()
+    assert len(back) == len(rows) and all(r["intact"] for r in back) and {len(r["payload"]) for r in back if r["page_id"] == 90} == {400_000}
+
+
 def test_broken_archives_are_refused():
     data = warc_zstd.archive_head(b"") + warc_zstd.zstandard.ZstdCompressor().compress(b"x" * 100)
     assert list(warc_zstd.split_frames(data)) == [b"x" * 100]
@@ -137,6 +169,17 @@ def test_a_small_source_beside_a_large_one_meets_its_target(spark):
     assert len({(r["doc_id"], r["copy"]) for r in out}) == len(out)
 
 
+def test_null_ids_are_drawn_apart(spark):
+    df = spark.createDataFrame([(None, "a", f"text {i}", 1) for i in range(3000)] + [(1, "a", "same", 2)] * 2, "doc_id long, source string, text string, _point int")
+    out = mixing.mix_sources(df, {"a": 1.0})
+    assert out.columns[:4] == df.columns and {r["_point"] for r in out.select("_point").collect()} <= {1, 2}
+    copies = Counter(r["text"] for r in out.where("doc_id IS NULL").select("text").collect())
+    assert abs(sum(copies.values()) - 3000) < 250 and len(set(copies.values())) > 2
+    assert out.where("doc_id IS NULL").select("shuffle_key").distinct().count() == sum(copies.values())
+    with pytest.raises(ValueError):
+        mixing.poisson_steps(800.0)
+
+
 # Temporal list
 
 
@@ -150,6 +193,11 @@ def test_entries_active_at_fetch_time(spark):
     assert len(out) == len(captures)
     assert sorted({(r["page_id"], r["blocked"], r["level"]) for r in out}) == [(1, False, None), (2, True, "host"), (3, True, "host"), (4, False, None), (5, True, "parent"), (6, True, "path"), (7, False, None), (8, False, None), (9, False, None), (10, False, None)]
     assert url_asof.temporal_filter(c.limit(0), e).collect() == []
+    more = [("deep.org", day(1, 1), "add", "spam"), ("deep.org", day(1, 1), "add", "adult"), ("deep.org", day(2, 1), "remove", "spam"), ("a.deep.org/x/y", day(1, 1), "add", None), ("0.0.1", day(1, 1), "add", "n")]
+    asked = [(1, "http://z.b.a.deep.org/", day(2, 2)), (2, "http://z.b.a.deep.org/", day(1, 2)), (3, "http://a.deep.org/x/y/z?q", day(3, 1)), (4, "http://a.deep.org/x", day(3, 1)), (5, "http://10.0.0.1/", day(3, 1)), (6, None, None), (6, None, None)]
+    e, c = spark.createDataFrame(more, "pattern string, listed_on date, action string, category string"), spark.createDataFrame(asked, "page_id long, url string, fetched_on date").withColumn("_hit", F.lit(7))
+    out = url_asof.temporal_filter(c, e).orderBy("page_id").collect()
+    assert [(r["level"], r["pattern"], r["category"], r["_hit"]) for r in out] == [("parent", "deep.org", "adult", 7), ("parent", "deep.org", "adult", 7), ("path", "a.deep.org/x/y", None, 7), ("parent", "deep.org", "adult", 7), *[(None, None, None, 7)] * 3]
     assert {r["blocked"] for r in url_asof.temporal_filter(c, e.limit(0)).collect()} == {False}
 
 
@@ -177,6 +225,12 @@ def test_measures_equal_brute_force(spark, texts):
         assert not got["kept"]
 
 
+def test_helper_names_of_the_input_survive(spark):
+    df = spark.createDataFrame([("der the and of " * 30, 1, 2, 3, 4, "x")], "text string, words int, row int, __x int, _text int, Whole string")
+    out = quality_rules.apply_quality_rules(df)
+    assert out.columns[:6] == df.columns and tuple(out.select(*df.columns).first()) == tuple(df.first())
+
+
 def test_clean_labelled_documents_stay(spark):
     out = llm.op10_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     long_enough = [r for r in out if r["n_words"] >= 50]
