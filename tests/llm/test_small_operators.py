@@ -248,6 +248,24 @@ def test_exchange_separates_alternating_classes():
     assert len(set(cls[:4])) == len(set(cls[4:])) == 1 and cls[0] != cls[4]
 
 
+def test_own_moves_raise_mutual_information_most(spark):
+    rng = np.random.default_rng(4)
+    m, k = 12, 3
+    table, cls = rng.integers(0, 6, (m, m)), rng.integers(0, k, m)
+    rows = [(int(a * m + b), int(table[a, b])) for a in range(m) for b in range(m) if table[a, b]]
+    place, best = brown_lm.own_moves(spark.createDataFrame(rows, "code long, n long").repartition(3), cls, k, 4, 10)
+    f = lambda x: x * math.log(max(x, 1))
+
+    def information(c):
+        t = np.eye(k)[c].T @ table @ np.eye(k)[c]
+        return sum(map(f, t.ravel())) - sum(map(f, t.sum(0))) - sum(map(f, t.sum(1)))
+
+    assert sorted(place.tolist()) == list(range(4, 10))
+    for w, c in zip(place.tolist(), best.tolist(), strict=True):
+        tried = [information(np.where(np.arange(m) == w, x, cls)) for x in range(k)]
+        assert tried[c] >= max(tried) - 1e-6
+
+
 def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "HELD", 7)
     texts = ["the cat sat on the mat", "The dog sat", "der hund und die katze", None, "", "die katze und der hund saß", "the  dog\tand the cat"] * 3
@@ -257,8 +275,15 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     words = lambda t: [w.encode() for w in (t or "").lower().split()] + [b""]
     counts = Counter(w for t in texts for w in words(t))
     n, v = sum(counts.values()), len(counts)
-    symbols = brown_lm.Symbols(model.core, model.suffixes)
-    cls = lambda w: int(model.classes[symbols[w]])
+    places = brown_lm.Places(list(model.head), model.suffixes)
+    cls = lambda w: int(model.classes[places[w]])
+    pairs = Counter((cls(a), cls(b)) for t in texts for a, b in zip([b"", *words(t)], words(t), strict=False))
+    k = len(model.transitions)
+    into = [sum(pairs[a, b] for a in range(k)) for b in range(k)]
+    for a in range(k):
+        for b in range(k):
+            share = (into[b] + 1) / (sum(into) + k)
+            assert math.isclose(10 ** model.transitions[a, b], (pairs[a, b] + brown_lm.BACKOFF * share) / (sum(pairs[a, c] for c in range(k)) + brown_lm.BACKOFF))
     size = Counter()
     for w, c in counts.items():
         size[cls(w)] += c + 1
