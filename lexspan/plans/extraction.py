@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as T
-from lexspan.operators.extract import EMPTY_NAMES, SHORT_NAMES, extract_entities, extract_references, statute_patterns
+from lexspan.operators.extract import NUMBER_BREAK, POINTING_WORDS, SHORT_NAMES, extract_entities, extract_references, reference_layouts
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -29,20 +29,16 @@ SENTENCE = """concat('It was held that ', CASE o_orderkey % 13
 
 
 def _sql() -> str:
-    parts = []
-    for p in statute_patterns(no_letter_after=""):
-        number = f"regexp_extract_all(t, '{p.regex}', {p.number_group})"
-        names = f"regexp_extract_all(t, '{p.regex}', {p.name_group})" if p.name_group else f"regexp_extract_all(t, '{p.regex}', {p.number_group})"
-        parts.append(f"SELECT o_orderkey, '{p.source}' AS source, unnest({names}) AS raw, unnest({number}) AS numbers, {f'{chr(39)}{p.split}{chr(39)}' if p.split else 'NULL'} AS splitter FROM s")
+    groups = lambda p: ", ".join(f"regexp_extract_all(t, '{p.regex.replace(chr(39), chr(39) * 2)}', {k}) AS {c}" for c, k in (("numbers", p.numbers), ("names", p.name), ("years", p.year)))
+    found = " UNION ALL ".join(f"SELECT o_orderkey, '{p.kind}' AS source, '{p.fixed_name}' AS fixed, '{p.prefix}' AS prefix, {groups(p)} FROM s" for p in reference_layouts())
     cases = " ".join(f"WHEN raw = '{k}' THEN '{v}'" for k, v in SHORT_NAMES.items())
     return rf"""
 WITH s AS (SELECT o_orderkey, {SENTENCE} AS t FROM orders),
-f AS ({' UNION ALL '.join(parts)}),
-n AS (SELECT o_orderkey, source, CASE WHEN source = 'article' THEN 'Constitution of India' WHEN source IN ('acronym', 'us_of_acronym', 'section_acronym') THEN CASE {cases} ELSE raw END
-        ELSE trim(regexp_replace(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), ',+$', ''), '(?i)^(the|of|and) +', '')) END AS name,
-        trim(unnest(CASE WHEN splitter IS NULL THEN [numbers] ELSE regexp_split_to_array(numbers, splitter) END)) AS section FROM f)
-SELECT o_orderkey, name, CASE WHEN source = 'article' THEN 'Art. ' ELSE '' END || section AS section, source, length(regexp_replace(section, '[^0-9]', '', 'g')) >= 5 AS low_confidence
-FROM n WHERE section <> '' AND lower(name) NOT IN ({', '.join(f"'{x}'" for x in EMPTY_NAMES)})"""
+f AS (SELECT o_orderkey, source, fixed, prefix, unnest(numbers) AS numbers, unnest(names) AS raw, unnest(years) AS year FROM ({found})),
+n AS (SELECT *, CASE WHEN fixed <> '' THEN fixed ELSE CASE {cases}
+        ELSE trim(regexp_replace(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), ',+$', ''), '(?i)^(the|of|and) +', '')) END || CASE WHEN coalesce(year, '') <> '' THEN ', ' || year ELSE '' END END AS name FROM f),
+e AS (SELECT o_orderkey, name, prefix, source, unnest(regexp_split_to_array(numbers, '{NUMBER_BREAK}')) AS number FROM n WHERE NOT regexp_matches(lower(name), '^(?:{"|".join(POINTING_WORDS)}) (?:act|code)\b'))
+SELECT o_orderkey, name, prefix || number AS section, source, length(regexp_replace(number, '[^0-9]', '', 'g')) >= 5 AS low_confidence FROM e"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

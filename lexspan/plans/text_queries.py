@@ -23,9 +23,9 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.size("l").alias("n_letters"))
 
 
-_KEYS = r"""
-SELECT conv_id, turn, md5(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), '^[ .,!?;:''"“”‘’।॥]+|[ .,!?;:''"“”‘’।॥]+$', '', 'g')) AS cache_md5,
-       md5(trim(regexp_replace(lower(text), '[\s!-/:-@\[-`{-~]+', ' ', 'g'))) AS dedup_md5
+_KEYS = rf"""
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), '^[{T.EDGE_MARKS}]+|[{T.EDGE_MARKS}]+$', '', 'g')) AS cache_md5,
+       md5(trim(regexp_replace(lower(text), '[\s!-/:-@\[-`{{-~]+', ' ', 'g'))) AS dedup_md5
 FROM conversations"""
 
 
@@ -48,9 +48,8 @@ _QUESTION = """concat('What does ', CASE p_size % 6 WHEN 0 THEN concat('Section
 
 @query(rf"""
 WITH q AS (SELECT p_partkey, {_QUESTION} AS q FROM part)
-SELECT p_partkey, CASE WHEN trim(q) = '' THEN 'empty' WHEN regexp_matches(q, '\bAct\b') THEN 'names an Act' WHEN contains(lower(q), 'this act') THEN 'this act' WHEN contains(lower(q), 'the act') THEN 'the act'
-  WHEN contains(lower(q), 'this law') THEN 'this law' WHEN contains(lower(q), 'sanhita') THEN 'sanhita' WHEN regexp_matches(lower(q), '\bsection\s*\d+\b') THEN 'section number' WHEN regexp_matches(lower(q), '\bsec\.\s*\d+\b') THEN 'sec. number'
-  WHEN len(regexp_extract_all(q, '[^ \t\n\r\f\v]+')) > 25 THEN 'too many words' END AS problem FROM q""")
+SELECT p_partkey, CASE {" ".join(f"WHEN regexp_matches(q, '{form}') THEN '{reason}'" for reason, form in T.QUESTION_RULES)}
+  WHEN len(regexp_extract_all(q, '[^ \t\n\r\f\v]+')) > 25 THEN 'too long' END AS problem FROM q""")
 def question_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First reason against questions made from the part table in forms that meet each rule."""
     q = table(spark, sf_dir, "part").select("p_partkey", F.expr(_QUESTION).alias("q"))
@@ -96,9 +95,7 @@ def looks_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns against the next one: long enough, and with enough letters of a range (a twenty-fifth here, Latin-1 letters being rarer than a script's own)."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = table(spark, sf_dir, "conversations").select("conv_id", "text", F.lead("text").over(w).alias("t")).where("t IS NOT NULL")
-    n = F.length("t")
-    ok = (n >= 0.5 * F.length("text")) & (F.regexp_count("t", F.lit("[À-ÿ]")) >= 0.04 * n) & (n > 0)
-    return p.groupBy("conv_id").agg(F.count("*").alias("n_pairs"), F.count_if(ok).alias("n_translated"))
+    return p.groupBy("conv_id").agg(F.count("*").alias("n_pairs"), F.count_if(T.looks_translated(F.col("text"), F.col("t"), "À-ÿ", 0.04)).alias("n_translated"))
 
 
 @query(r"""
@@ -111,9 +108,6 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
-_STATUTE = "concat_ws(chr(10), 'Preamble of the text.', transform(sequence(1, 1 + p_size % 5), i -> concat(cast(i + p_size as string), '. ', p_name, CASE WHEN i % 2 = 0 THEN '. ' ELSE '—' END, p_type, ' body.')))"
-
-
 @query(r"""
 WITH s AS (SELECT p_partkey, p_size, p_name, p_type, unnest(range(1, 2 + p_size % 5)) AS i FROM part)
 SELECT p_partkey, i::INT AS ordinal, (i + p_size)::VARCHAR AS section_number, trim(p_name) AS title, length(concat(p_name, CASE WHEN i % 2 = 0 THEN '. ' ELSE '—' END, p_type, ' body.'))::INT AS n_chars FROM s""")
@@ -128,7 +122,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM benchmark)),
-q AS (SELECT DISTINCT lower(w) AS q FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,9}')) AS w FROM conversations WHERE role = 'system')),
+q AS (SELECT DISTINCT lower(w) AS q FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM conversations WHERE role = 'system')),
 d AS (SELECT q, w, levenshtein(q, w) AS dist FROM q, v WHERE q <> w AND abs(length(q) - length(w)) <= 2 AND q NOT IN (SELECT w FROM v))
 SELECT q AS word, arg_min(w, {'d': dist, 'w': w}) AS suggestion, min(dist)::INT AS distance FROM d WHERE dist <= CASE WHEN length(q) >= 7 THEN 2 ELSE 1 END GROUP BY 1""")
 def levenshtein_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +131,7 @@ def levenshtein_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = lambda df, rx: df.select(F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
     known = words(table(spark, sf_dir, "benchmark"), "[A-Za-z]{4,}")
-    asked = words(table(spark, sf_dir, "conversations").where("role = 'system'"), "[A-Za-z]{4,9}")
+    asked = words(table(spark, sf_dir, "conversations").where("role = 'system'"), "[A-Za-z]{4,}")
     return suggest_spelling(asked, known, "w")
 
 

@@ -43,7 +43,9 @@ def test_scripts(spark):
 def test_query_and_question_rules(spark):
     assert one(spark, ["  ", " ab ", "x" * 2001, "fine one", None], T.query_problem) == ["blank", "too_short", "too_long", "ok", "blank"]
     asked = ["What does the Act say?", "may I act alone?", "does section 12 apply", "see sec. 4", "word " * 26, "what does this law mean", ""]
-    assert one(spark, asked, T.question_problem) == ["names an Act", None, "section number", "sec. number", "too many words", "this law", "empty"]
+    assert one(spark, asked, T.question_problem) == ["points at a statute", None, "cites a section", "cites a section", "too long", "points at a statute", "empty"]
+    assert one(spark, ["Is a Domestic Violence Act order final?", None], T.question_problem) == ["points at a statute", "empty"]
+    assert one(spark, [" (Hello  World)-“ ", None], T.cache_key) == ["hello world", ""]
 
 
 def test_html_titles_and_forms(spark):
@@ -55,17 +57,27 @@ def test_html_titles_and_forms(spark):
     assert one(spark, ['```json\n[1]\n```', "[2]"], T.fenced_json) == ["[1]", "[2]"]
 
 
-def test_references(spark):
-    texts = ["Motor Vehicles Act, 1988 – s. 48", "Motor Vehicles Act, 1988 - s. 48", "u/ss 3, 4 and 5A of the Arms Act", "IPC s. 302/34", "Section 9 of the Act", "Cr.P.C. Section 482", "Article 21 of the Constitution", None]
-    rows = extract_references(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t").collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r["i"], set()).add((r["name"], r["section"], r["source"]))
-    assert by[0] == by[1] == {("Motor Vehicles Act, 1988", "48", "act_year_section")}
-    assert by[2] == {("Arms Act", s, "us_of_act") for s in ("3", "4", "5A")}
-    assert by[3] == {("Indian Penal Code", "302", "acronym"), ("Indian Penal Code", "34", "acronym")}
-    assert 4 not in by and by[5] == {("Code of Criminal Procedure", "482", "acronym")}
-    assert by[6] == {("Constitution of India", "Art. 21", "article")}
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Motor Vehicles Act, 1988 – s. 48", {("Motor Vehicles Act, 1988", "48", "name_first")}),
+        ("Motor Vehicles Act, 1988 - s. 48", {("Motor Vehicles Act, 1988", "48", "name_first")}),
+        ("Motor Vehicles Act 1988: Sections 48/49", {("Motor Vehicles Act, 1988", n, "name_first") for n in ("48", "49")}),
+        ("the Unlawful Activities (Prevention) Act, ss. 15 and 18(b)", {("Unlawful Activities (Prevention) Act", n, "name_first") for n in ("15", "18(b)")}),
+        ("u/ss 3, 4 and 5A of the Arms Act", {("Arms Act", s, "number_first") for s in ("3", "4", "5A")}),
+        ("IPC s. 302/34", {("Indian Penal Code", s, "name_first") for s in ("302", "34")}),
+        ("Cr.P.C. Section 482", {("Code of Criminal Procedure", "482", "name_first")}),
+        ("under Section 482 Cr.P.C. it may", {("Code of Criminal Procedure", "482", "number_first")}),
+        ("sec. 9 of the Code of Civil Procedure, 1908", {("Code of Civil Procedure, 1908", "9", "number_first")}),
+        ("Section 9 of the Act; This Act, s. 4", set()),
+        ("Article 21 of the Constitution, Arts. 14 & 19", {("Constitution of India", f"Art. {n}", "article") for n in (21, 14, 19)}),
+        ("class. 5 of Acts and IPCX s. 5", set()),
+        (None, set()),
+    ],
+)
+def test_references(spark, text, want):
+    rows = extract_references(spark.createDataFrame([(1, text)], "i int, t string"), "t").collect()
+    assert {(r["name"], r["section"], r["source"]) for r in rows} == want
 
 
 def test_sections_and_spelling(spark):
