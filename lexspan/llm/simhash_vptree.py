@@ -283,6 +283,8 @@ SIEVE_BITS = 1 << 20
 #: Digests of sets that a task remembers to hand on copies once.
 SEEN_DIGESTS = 200_000
 FIVE = 5
+#: Shingles that the first places of two alike sets have in common at least, where their prefixes are long enough.
+SHARED = 8
 _BLANKS = separators(BLANKS)
 #: Slack for products that are whole numbers but for rounding.
 ROUNDING = 1e-9
@@ -423,38 +425,42 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, points: DataFrame
 
 
 def prefix_rows(labelled: DataFrame) -> DataFrame:
-    """(h, point, small, root, n): a row for each prefix shingle of the points (point, small, root, n, prefix)."""
+    """(h, point, small, root, n, pos): a row for each prefix shingle of the points (point, small, root, n, prefix)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 first = [np.frombuffer(s.as_py(), "<i8") for s in part.column(4)]
-                at = pa.array(np.repeat(np.arange(len(part)), [len(h) for h in first]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *[part.column(c).take(at) for c in range(4)]], names=["h", "point", "small", "root", "n"])
+                kept = np.array([len(h) for h in first], np.int64)
+                at = pa.array(np.repeat(np.arange(len(part)), kept))
+                pos = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *[part.column(c).take(at) for c in range(4)], pa.array(pos)], names=["h", "point", "small", "root", "n", "pos"])
 
-    return labelled.select("point", "small", "root", "n", "prefix").mapInArrow(work, "h long, point long, small long, root long, n long")
+    return labelled.select("point", "small", "root", "n", "prefix").mapInArrow(work, "h long, point long, small long, root long, n long, pos long")
 
 
 def missing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``prefix_rows``.
+    """(a, b, of_a, of_b, likely) of all points of different groups (roots of_a, of_b) that can be ``similarity`` alike, from their ``prefix_rows``.
 
     Most shingles are of one group only and go before the join. The largest group of a shingle
-    (least ``small``) is never joined with itself. Of two sets, the one whose prefix ends first has
-    none of that prefix in the other's rest; so they share at most the c shingles that their prefixes
-    share, and the whole rest of one of them. Pairs for which that is too little go: most have c
-    near 1, where 0.8 takes a tenth of the set.
+    (least ``small``) is never joined with itself. Sets of sizes m and n that are alike share some A
+    shingles at least; so, in any one order, their first m - A + l and n - A + l share l. Here l is
+    SHARED, or what the prefixes allow; places beyond do not join, pairs with fewer in common go.
     """
     group, by_hash = F.struct("small", "root"), Window.partitionBy("h")
     shared = rows.withColumns({"least": F.min(group).over(by_hash), "most": F.max(group).over(by_hash)}).where("least != most")
-    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n"), "shared_shingles")
-    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n")])
-    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n")])
-    sizes = (F.col("r_of") < F.col("l_of")) & (F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING)
-    pairs = left.join(right, "h").where(sizes).groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), "l_n", "r_n").agg(F.count("*").alias("c"))
-    rest = lambda n: F.ceil(similarity * n - ROUNDING) - 1
-    enough = F.col("c") + F.greatest(rest(F.col("l_n")), rest(F.col("r_n"))) >= similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING
-    return pairs.where(enough).select("a", "b")
+    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n", "pos"), "shared_shingles")
+    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos")])
+    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos")])
+    alike = F.ceil(similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
+    spare = lambda n: alike - F.ceil(similarity * F.col(n) - ROUNDING) + 1
+    enough = F.least(F.lit(SHARED), spare("l_n"), spare("r_n"))
+    early = lambda side: F.col(f"{side}_pos") < F.col(f"{side}_n") - alike + enough
+    sizes = F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING
+    met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & sizes & early("l") & early("r"))
+    pairs = met.groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), F.col("l_of.root").alias("of_a"), F.col("r_of.root").alias("of_b"), "l_n", "r_n").agg(F.count("*").alias("c"))
+    return pairs.where(F.col("c") >= enough).select("a", "b", "of_a", "of_b", (F.col("c") / (F.col("l_n") + F.col("r_n"))).alias("likely"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,7 +482,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     labels = points.select("point").join(groups.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left").select("point", F.coalesce("small", F.lit(-1)).alias("small"), F.coalesce("root", "point").alias("root"))
     labelled = marked.select(F.col("row").alias("point"), "n", "prefix").join(materialise(labels, "labels"), "point")
     rest = materialise(missing_pairs(prefix_rows(labelled), similarity), "missing_pairs")
-    links = verified(rest, docs, text_col, points, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # One pair for two groups first, the likeliest; the others only where that has not joined them.
+    best = rest.groupBy("of_a", "of_b").agg(F.max(F.struct("likely", "a", "b")).alias("p")).select("p.a", "p.b")
+    links = verified(materialise(best, "best_pairs"), docs, text_col, points, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = materialise(links, "links")
+    joined = materialise(connected_components(links), "joined")
+    root = lambda c: joined.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"now_{c}"))
+    apart = rest.join(root("a"), "of_a", "left").join(root("b"), "of_b", "left").where(F.coalesce("now_a", "of_a") != F.coalesce("now_b", "of_b")).select("a", "b")
+    links = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(materialise(apart, "apart"), docs, text_col, points, similarity))
     roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "point")
     named = materialise(points.join(roots, "point", "left").select("digest", "min_id", F.coalesce("root", "point").alias("root")), "named")
     final = materialise(named.join(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("digest", "component_id"), "components")
