@@ -440,17 +440,28 @@ def prefix_rows(labelled: DataFrame) -> DataFrame:
     return labelled.select("point", "small", "root", "n", "prefix").mapInArrow(work, "h long, point long, small long, root long, n long, pos long")
 
 
-def missing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, of_a, of_b, likely) of all points of different groups (roots of_a, of_b) that can be ``similarity`` alike, from their ``prefix_rows``.
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """The ``prefix_rows`` whose shingle more than one group has, with the least group and its least point: most shingles are of one group only."""
+    group, by_hash = F.struct("small", "root"), Window.partitionBy("h")
+    first = F.min(F.struct("small", "root", "point")).over(by_hash)
+    return rows.withColumns({"first": first, "most": F.max(group).over(by_hash)}).where(F.struct("first.small", "first.root") != F.col("most")).drop("most")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each point with the one that is first for most of its shingles. A row a point, and enough to join a large group that the trees left in pieces."""
+    stars = shared.where("root != first.root").groupBy("point", F.col("first.point").alias("b")).agg(F.count("*").alias("c"))
+    return stars.groupBy(F.col("point").alias("a")).agg(F.max(F.struct("c", "b")).alias("s")).select("a", "s.b")
+
 
-    Most shingles are of one group only and go before the join. The largest group of a shingle
-    (least ``small``) is never joined with itself. Sets of sizes m and n that are alike share some A
-    shingles at least; so, in any one order, their first m - A + l and n - A + l share l. Here l is
-    SHARED, or what the prefixes allow; places beyond do not join, pairs with fewer in common go.
+def missing_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``shared_rows``.
+
+    The largest group of a shingle (least ``small``) is never joined with itself. Sets of sizes m and n
+    that are alike share some A shingles at least; so, in any one order, their first m - A + l and
+    n - A + l share l. Here l is SHARED, or what the prefixes allow; places beyond do not join, pairs
+    with fewer in common go.
     """
-    group, by_hash = F.struct("small", "root"), Window.partitionBy("h")
-    shared = rows.withColumns({"least": F.min(group).over(by_hash), "most": F.max(group).over(by_hash)}).where("least != most")
-    shared = materialise(shared.select("h", "point", group.alias("of"), "least", "n", "pos"), "shared_shingles")
+    shared = materialise(shared.select("h", "point", F.struct("small", "root").alias("of"), F.struct("first.small", "first.root").alias("least"), "n", "pos"), "to_join")
     left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos")])
     right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos")])
     alike = F.ceil(similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
@@ -459,17 +470,26 @@ def missing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     early = lambda side: F.col(f"{side}_pos") < F.col(f"{side}_n") - alike + enough
     sizes = F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING
     met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & sizes & early("l") & early("r"))
-    pairs = met.groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), F.col("l_of.root").alias("of_a"), F.col("r_of.root").alias("of_b"), "l_n", "r_n").agg(F.count("*").alias("c"))
-    return pairs.where(F.col("c") >= enough).select("a", "b", "of_a", "of_b", (F.col("c") / (F.col("l_n") + F.col("r_n"))).alias("likely"))
+    pairs = met.groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), "l_n", "r_n").agg(F.count("*").alias("c"))
+    return pairs.where(F.col("c") >= enough).select("a", "b")
+
+
+def with_groups(rows: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of points with root and small, less the size of the group, from (node, root)."""
+    sizes = roots.groupBy("root").agg((-F.count("*")).alias("small"))
+    labels = points.select("point").join(roots.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left")
+    labels = labels.select("point", F.coalesce("small", F.lit(-1)).alias("small"), F.coalesce("root", "point").alias("root"))
+    return rows.drop("small", "root").join(materialise(labels, "labels"), "point")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): groups of texts linked by a Jaccard similarity of their five-word shingle sets of ``similarity`` or more, exactly.
 
     A point is a distinct set. The trees propose links, which are checked on the sets; they leave
-    few groups to join, also where thousands of texts are alike. Then a prefix join finds every pair
-    of points in different groups that can reach the similarity, and the sets decide again: the
-    result does not depend on what the trees find.
+    few groups to join, also where thousands of texts are alike. Stars over shared rare shingles, checked
+    too, join what they left in pieces. Then a prefix join finds every pair of points in different
+    groups that can still reach the similarity, and the sets decide again: nothing is lost, whatever
+    the trees find.
     """
     marked = materialise(near_fingerprints(docs, commonness(docs, text_col), similarity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     points = materialise(marked.groupBy("digest").agg(F.min("row").alias("point"), F.min("id").alias("min_id"), F.first("bits").alias("bits")), "points")
@@ -478,18 +498,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     found = find_links(by_bits, similarity_layout(similarity)).select(F.col("a").alias("a_bits"), F.col("b").alias("b_bits"))
     proposed = found.join(end("a"), "a_bits").join(end("b"), "b_bits").select("a", "b").union(points.join(by_bits, "bits").where("point != first").select(F.col("first").alias("a"), F.col("point").alias("b")))
     groups = materialise(connected_components(verified(materialise(proposed.distinct(), "proposed"), docs, text_col, points, similarity)), "groups")
-    sizes = groups.groupBy("root").agg((-F.count("*")).alias("small"))
-    labels = points.select("point").join(groups.join(sizes, "root").select(F.col("node").alias("point"), "small", "root"), "point", "left").select("point", F.coalesce("small", F.lit(-1)).alias("small"), F.coalesce("root", "point").alias("root"))
-    labelled = marked.select(F.col("row").alias("point"), "n", "prefix").join(materialise(labels, "labels"), "point")
-    rest = materialise(missing_pairs(prefix_rows(labelled), similarity), "missing_pairs")
-    # One pair for two groups first, the likeliest; the others only where that has not joined them.
-    best = rest.groupBy("of_a", "of_b").agg(F.max(F.struct("likely", "a", "b")).alias("p")).select("p.a", "p.b")
-    links = verified(materialise(best, "best_pairs"), docs, text_col, points, similarity).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = materialise(links, "links")
-    joined = materialise(connected_components(links), "joined")
-    root = lambda c: joined.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"now_{c}"))
-    apart = rest.join(root("a"), "of_a", "left").join(root("b"), "of_b", "left").where(F.coalesce("now_a", "of_a") != F.coalesce("now_b", "of_b")).select("a", "b")
-    links = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(materialise(apart, "apart"), docs, text_col, points, similarity))
+    shared = materialise(shared_rows(prefix_rows(with_groups(marked.select(F.col("row").alias("point"), "n", "prefix"), points, groups))), "shared_shingles")
+    as_links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = verified(materialise(star_pairs(shared), "star_pairs"), docs, text_col, points, similarity)
+    groups = materialise(connected_components(stars.union(as_links(groups))), "groups")
+    again = shared_rows(with_groups(shared.drop("first"), points, groups))
+    rest = materialise(missing_pairs(again, similarity), "missing_pairs")
+    links = verified(rest, docs, text_col, points, similarity).union(as_links(groups))
     roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "point")
     named = materialise(points.join(roots, "point", "left").select("digest", "min_id", F.coalesce("root", "point").alias("root")), "named")
     final = materialise(named.join(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("digest", "component_id"), "components")
