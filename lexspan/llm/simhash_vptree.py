@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import operator
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -283,8 +285,8 @@ SIEVE_BITS = 1 << 20
 #: Digests of sets that a task remembers to hand on copies once.
 SEEN_DIGESTS = 200_000
 FIVE = 5
-#: Shingles that the first places of two alike sets have in common at least, where their prefixes are long enough.
-SHARED = 8
+#: Bits on which a set of shingles is folded; sets at Hamming distance d there differ in at least d shingles.
+FOLDED_BITS = 512
 _BLANKS = separators(BLANKS)
 #: Slack for products that are whole numbers but for rounding.
 ROUNDING = 1e-9
@@ -327,6 +329,12 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.astype("<u8").tobytes()).digest()
 
 
+def folded(shingles: np.ndarray) -> bytes:
+    """FOLDED_BITS bits, each the parity of the number of shingles that fall on it."""
+    at = (shingles >> np.uint64(64 - FOLDED_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=FOLDED_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
     """How many shingles of all rows, copies included, fall into each of COMMON_BUCKETS hash buckets. It orders the prefixes and decides nothing."""
 
@@ -345,7 +353,7 @@ def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def near_fingerprints(docs: DataFrame, common: np.ndarray, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, bits, n, prefix) of each row.
+    """(id, digest, bits, n, prefix, folded) of each row.
 
     ``digest`` is the MD5 of the text's set of n five-word shingles, ``prefix`` its first
     n - ceil(similarity * n) + 1 shingles, rare ones first. Two sets at ``similarity`` or more share at
@@ -353,23 +361,23 @@ def near_fingerprints(docs: DataFrame, common: np.ndarray, similarity: float, id
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def of(text: str | None) -> tuple[bytes, bytes, int, bytes]:
+    def of(text: str | None) -> tuple[bytes, bytes, int, bytes, np.ndarray]:
         words, fives = words_and_shingles(text)
         n = len(fives)
         if not n:
-            return set_digest(fives), bytes(WORD_BYTES + SHINGLE_BYTES), 0, b""
+            return set_digest(fives), bytes(WORD_BYTES + SHINGLE_BYTES), 0, b"", np.zeros(FOLDED_BITS // 64, np.int64)
         bits = majority_bits(_spread(np.unique(words), WORD_BYTES // 8)) + majority_bits(_spread(fives, SHINGLE_BYTES // 8))
         order = np.lexsort((fives, shared.value[(fives % COMMON_BUCKETS).astype(np.int64)]))
-        return set_digest(fives), bits, n, fives[order[: n - math.ceil(similarity * n - ROUNDING) + 1]].astype("<u8").tobytes()
+        return set_digest(fives), bits, n, fives[order[: n - math.ceil(similarity * n - ROUNDING) + 1]].astype("<u8").tobytes(), np.frombuffer(folded(fives), "<i8")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
             columns = zip(*(of(t.as_py()) for t in batch.column(1)), strict=True) if len(batch) else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "digest", "bits", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "digest", "bits", "n", "prefix", "folded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, digest binary, bits binary, n long, prefix binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, digest binary, bits binary, n long, prefix binary, folded array<long>")
 
 
 def sieve(digests: DataFrame) -> np.ndarray:
@@ -454,24 +462,23 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 
 def missing_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``shared_rows``.
+    """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``shared_rows`` with ``folded``.
 
     The largest group of a shingle (least ``small``) is never joined with itself. Sets of sizes m and n
-    that are alike share some A shingles at least; so, in any one order, their first m - A + l and
-    n - A + l share l. Here l is SHARED, or what the prefixes allow; places beyond do not join, pairs
-    with fewer in common go.
+    that are alike share some A shingles at least; so, in any one order, their first m - A + 1 and
+    n - A + 1 share one, and no more than m + n - 2 A shingles are in one set only. Where the folded sets
+    already differ at more places, the pair is never made: what keeps a large group of texts that are
+    almost alike from joining each with each.
     """
-    shared = materialise(shared.select("h", "point", F.struct("small", "root").alias("of"), F.struct("first.small", "first.root").alias("least"), "n", "pos"), "to_join")
-    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos")])
-    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos")])
+    shared = materialise(shared.select("h", "point", F.struct("small", "root").alias("of"), F.struct("first.small", "first.root").alias("least"), "n", "pos", "folded"), "to_join")
+    left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos", "folded")])
+    right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos", "folded")])
     alike = F.ceil(similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
-    spare = lambda n: alike - F.ceil(similarity * F.col(n) - ROUNDING) + 1
-    enough = F.least(F.lit(SHARED), spare("l_n"), spare("r_n"))
-    early = lambda side: F.col(f"{side}_pos") < F.col(f"{side}_n") - alike + enough
+    early = lambda side: F.col(f"{side}_pos") <= F.col(f"{side}_n") - alike
     sizes = F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING
-    met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & sizes & early("l") & early("r"))
-    pairs = met.groupBy(F.col("l_point").alias("a"), F.col("r_point").alias("b"), "l_n", "r_n").agg(F.count("*").alias("c"))
-    return pairs.where(F.col("c") >= enough).select("a", "b")
+    apart = reduce(operator.add, (F.bit_count(F.col("l_folded")[i].bitwiseXOR(F.col("r_folded")[i])) for i in range(FOLDED_BITS // 64)))
+    met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & sizes & early("l") & early("r") & (apart <= F.col("l_n") + F.col("r_n") - 2 * alike))
+    return met.select(F.col("l_point").alias("a"), F.col("r_point").alias("b")).distinct()
 
 
 def with_groups(rows: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
@@ -502,7 +509,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     as_links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     stars = verified(materialise(star_pairs(shared), "star_pairs"), docs, text_col, points, similarity)
     groups = materialise(connected_components(stars.union(as_links(groups))), "groups")
-    again = shared_rows(with_groups(shared.drop("first"), points, groups))
+    again = shared_rows(with_groups(shared.drop("first"), points, groups)).join(marked.select(F.col("row").alias("point"), "folded"), "point")
     rest = materialise(missing_pairs(again, similarity), "missing_pairs")
     links = verified(rest, docs, text_col, points, similarity).union(as_links(groups))
     roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "point")

@@ -122,19 +122,8 @@ def test_similar_texts_are_grouped_and_others_kept_apart(spark):
     assert all(got[i] // 3 * 3 == group[i] for i in range(120))
 
 
-def test_near_duplicates_equal_brute_force_with_word_and_block_edits(spark):
-    rng = random.Random(8)
-    vocab = [f"word{i}" for i in range(4000)]
-    bodies = []
-    for g in range(60):
-        base = rng.choices(vocab, k=rng.randint(20, 240))
-        n = len(base)
-        block = lambda share: [f"new{rng.randrange(10**6)}" for _ in range(round(share * n))]  # noqa: E731, B023
-        scattered = list(base)
-        for _ in range(max(1, n // 50)):
-            scattered[rng.randrange(n)] = rng.choice(vocab)
-        bodies += [base, scattered, base + block(0.1), base + block(0.24), block(0.2) + base, base + block(0.27), base[: round(0.82 * n)]]
-    rows = [(i, " ".join(w)) for i, w in enumerate(bodies)] + [(1000, ""), (1001, None), (1002, "a b c"), (1003, "A b  c")]
+def check_by_brute_force(spark, rows):
+    """Groups of ``rows`` against all pairs; returns the number of linked pairs and the groups."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
     parent = list(range(len(rows)))
 
@@ -153,4 +142,45 @@ def test_near_duplicates_equal_brute_force_with_word_and_block_edits(spark):
     want = {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in sv.near_duplicates(df).collect()} == want
-    assert linked > 200 and len(set(want.values())) > 100
+    return linked, set(want.values())
+
+
+def test_near_duplicates_equal_brute_force_with_word_and_block_edits(spark):
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(4000)]
+    bodies = []
+    for g in range(60):
+        base = rng.choices(vocab, k=rng.randint(20, 240))
+        n = len(base)
+        block = lambda share: [f"new{rng.randrange(10**6)}" for _ in range(round(share * n))]  # noqa: E731, B023
+        scattered = list(base)
+        for _ in range(max(1, n // 50)):
+            scattered[rng.randrange(n)] = rng.choice(vocab)
+        bodies += [base, scattered, base + block(0.1), base + block(0.24), block(0.2) + base, base + block(0.27), base[: round(0.82 * n)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(bodies)] + [(1000, ""), (1001, None), (1002, "a b c"), (1003, "A b  c")]
+    linked, groups = check_by_brute_force(spark, rows)
+    assert linked > 200 and len(groups) > 100
+
+
+def test_a_large_group_of_texts_that_are_almost_alike_equals_brute_force(spark):
+    rng = random.Random(13)
+    vocab = [f"word{i}" for i in range(4000)]
+    base = rng.choices(vocab, k=150)
+    rows = []
+    for d in range(260):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):  # two of three edits each are 0.7 alike, one with one 0.88
+            words[rng.randrange(150)] = rng.choice(vocab)
+        rows.append((d, " ".join(words)))
+    linked, groups = check_by_brute_force(spark, rows)
+    assert linked < 260 * 259 // 4 and 20 < len(groups) < 200
+
+
+def test_folded_sets_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n, edits in ((1, 0), (30, 3), (150, 20), (150, 60), (5000, 400)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, dtype=np.uint64) << np.uint64(1)]))
+        apart = (int.from_bytes(sv.folded(a), "big") ^ int.from_bytes(sv.folded(b), "big")).bit_count()
+        assert apart <= len(np.setxor1d(a, b)) and len(sv.folded(a)) == sv.FOLDED_BITS // 8
+        assert apart > 0 or edits == 0
