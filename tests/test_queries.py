@@ -35,6 +35,14 @@ def test_some_results_are_not_empty(spark):
         assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0, name
 
 
+def test_scores_err_in_both_ways(spark):
+    c = QUERIES["confusion_metrics"](spark, "/root/testdata/sf0.01").first()
+    assert min(c["tp"], c["fp"], c["fn"], c["tn"]) > 0
+    pairs = QUERIES["mcnemar"](spark, "/root/testdata/sf0.01").groupBy().sum("b", "c").first()
+    assert pairs[0] > pairs[1] > 0
+    assert [r["best"] for r in QUERIES["weight_grid"](spark, SF).collect()].count(True) == 1
+
+
 def test_gold_is_containment_whatever_surrounds_the_item(spark, tmp_path):
     items = [(0, "one two three four five six"), (1, "red green blue"), (2, "a  b\nc d e"), (3, None)] + [(10 + i, f"s{i}z") for i in range(1500)]
     texts = ['he said "one two three four five six" twice', "(one two three four five six).", "x\tone two three four five six\ry", "red green blue.", "za  b\nc d ef", "a b c d e", None, " ".join(f"s{i}z" for i in range(1500))]
