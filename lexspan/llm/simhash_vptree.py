@@ -34,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, materialise, words_of
@@ -461,6 +461,24 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return stars.groupBy(F.col("point").alias("a")).agg(F.max(F.struct("c", "b")).alias("s")).select("a", "s.b")
 
 
+def least_shared(similarity: float) -> Column:
+    """How many shingles sets of the sizes l_n and r_n share at least if they are ``similarity`` alike."""
+    return F.ceil(similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
+
+
+def can_be_alike(similarity: float) -> Column:
+    """Whether sets of sizes l_n and r_n, folded as l_folded and r_folded, can be ``similarity`` alike; true for all that are."""
+    sizes = F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING
+    apart = reduce(operator.add, (F.bit_count(F.col("l_folded")[i].bitwiseXOR(F.col("r_folded")[i])) for i in range(FOLDED_BITS // 64)))
+    return sizes & (apart <= F.col("l_n") + F.col("r_n") - 2 * least_shared(similarity))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and folded sets, from ``sketches`` (point, n, folded), do not rule out: only these need their whole sets."""
+    of = lambda end, side: sketches.select(F.col("point").alias(end), F.col("n").alias(f"{side}_n"), F.col("folded").alias(f"{side}_folded"))
+    return pairs.join(of("a", "l"), "a").join(of("b", "r"), "b").where(can_be_alike(similarity)).select("a", "b")
+
+
 def missing_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all points of different groups that can be ``similarity`` alike, from their ``shared_rows`` with ``folded``.
 
@@ -473,11 +491,8 @@ def missing_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     shared = materialise(shared.select("h", "point", F.struct("small", "root").alias("of"), F.struct("first.small", "first.root").alias("least"), "n", "pos", "folded"), "to_join")
     left = shared.where("of != least").select("h", *[F.col(c).alias(f"l_{c}") for c in ("point", "of", "n", "pos", "folded")])
     right = shared.select("h", *[F.col(c).alias(f"r_{c}") for c in ("point", "of", "n", "pos", "folded")])
-    alike = F.ceil(similarity / (1 + similarity) * (F.col("l_n") + F.col("r_n")) - ROUNDING)
-    early = lambda side: F.col(f"{side}_pos") <= F.col(f"{side}_n") - alike
-    sizes = F.least("l_n", "r_n") >= similarity * F.greatest("l_n", "r_n") - ROUNDING
-    apart = reduce(operator.add, (F.bit_count(F.col("l_folded")[i].bitwiseXOR(F.col("r_folded")[i])) for i in range(FOLDED_BITS // 64)))
-    met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & sizes & early("l") & early("r") & (apart <= F.col("l_n") + F.col("r_n") - 2 * alike))
+    early = lambda side: F.col(f"{side}_pos") <= F.col(f"{side}_n") - least_shared(similarity)
+    met = left.join(right, "h").where((F.col("r_of") < F.col("l_of")) & early("l") & early("r") & can_be_alike(similarity))
     return met.select(F.col("l_point").alias("a"), F.col("r_point").alias("b")).distinct()
 
 
@@ -503,13 +518,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     by_bits = materialise(points.groupBy("bits").agg(F.min("point").alias("first")), "points_by_bits")
     end = lambda c: by_bits.select(F.col("bits").alias(f"{c}_bits"), F.col("first").alias(c))
     found = find_links(by_bits, similarity_layout(similarity)).select(F.col("a").alias("a_bits"), F.col("b").alias("b_bits"))
+    sketches = marked.select(F.col("row").alias("point"), "n", "folded")
     proposed = found.join(end("a"), "a_bits").join(end("b"), "b_bits").select("a", "b").union(points.join(by_bits, "bits").where("point != first").select(F.col("first").alias("a"), F.col("point").alias("b")))
-    groups = materialise(connected_components(verified(materialise(proposed.distinct(), "proposed"), docs, text_col, points, similarity)), "groups")
+    groups = materialise(connected_components(verified(materialise(possible(proposed.distinct(), sketches, similarity), "proposed"), docs, text_col, points, similarity)), "groups")
     shared = materialise(shared_rows(prefix_rows(with_groups(marked.select(F.col("row").alias("point"), "n", "prefix"), points, groups))), "shared_shingles")
     as_links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    stars = verified(materialise(star_pairs(shared), "star_pairs"), docs, text_col, points, similarity)
+    stars = verified(materialise(possible(star_pairs(shared), sketches, similarity), "star_pairs"), docs, text_col, points, similarity)
     groups = materialise(connected_components(stars.union(as_links(groups))), "groups")
-    again = shared_rows(with_groups(shared.drop("first"), points, groups)).join(marked.select(F.col("row").alias("point"), "folded"), "point")
+    again = shared_rows(with_groups(shared.drop("first"), points, groups)).join(sketches.select("point", "folded"), "point")
     rest = materialise(missing_pairs(again, similarity), "missing_pairs")
     links = verified(rest, docs, text_col, points, similarity).union(as_links(groups))
     roots = materialise(connected_components(links), "roots").withColumnRenamed("node", "point")
