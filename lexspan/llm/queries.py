@@ -13,9 +13,12 @@ from . import brown_lm
 from .chat_render import read_back, render_conversations
 from .decontam_lsa import find_contamination
 from .langid_rank import held_out, identify, train_profiles
+from .lyndon_runs import find_runs
 from .mixing import OTHERS, SEED, WEIGHTS, mix_sources
+from .posting_lists import nearest
 from .quality_rules import STOP_WORDS, apply_quality_rules
 from .simhash_vptree import simhash_components
+from .source_audit import divergence
 from .token_tree import apply_edits, build_trees, masking_edits
 from .url_asof import temporal_filter, url_patterns
 from .warc_zstd import read_warc, write_warc
@@ -213,6 +216,68 @@ FROM m
 """
 
 
+def op11_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one by inner product."""
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def periodic_tail(words: list[bytes], h: int | None) -> list[bytes]:
+    """The words with, in one of ten documents (by the hash h of its id), a tail that repeats itself from some place on."""
+    n = len(words)
+    if h is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of every document, the strongest one, and digests of the list and of the text without the repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    found = find_runs(docs, rewrite=periodic_tail, rewrite_col="h")
+    gap = lambda x: F.nullif(F.when(x > 0, 1).when(x < 0, -1).otherwise(0), F.lit(0))
+    order = lambda a, b: F.coalesce(gap(b["length"] * a["period"] - a["length"] * b["period"]), gap(a["start"] - b["start"]), gap(a["period"] - b["period"]), F.lit(0))
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.call_function("div", 1000 * F.col("best.length"), F.col("best.period"))
+    return found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two sources of a language by the difference of their terms, and the terms that set a source apart."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY 1),
+g AS (
+  SELECT lang, source, coalesce(sum(c.n) FILTER (WHERE k.term IS NOT NULL), 0)::BIGINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * v.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_prefix_render": op1_chat_prefix_render,
@@ -225,6 +290,9 @@ def queries() -> dict[str, Query]:
         "op8_langid_rank_order": op8_langid_rank_order,
         "op9_brown_class_lm": op9_brown_class_lm,
         "op10_quality_rules": op10_quality_rules,
+        "op11_balanced_postings": op11_balanced_postings,
+        "op12_lyndon_runs": op12_lyndon_runs,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -235,4 +303,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_poisson_mixing": OP3_SQL,
         "op7_url_list_asof": OP7_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op13_source_divergence": OP13_SQL,
     }
