@@ -1,23 +1,11 @@
-"""BM25 over an inverted index, cosine scores over vectors, and top-k by query.
-
-Only terms that queries use are posted, by a semi-join before any row is grouped; the idf floor needs the
-frequency of every term, which is one pre-aggregated pass. A query side is small by nature, but is
-not forced into a broadcast: the planner broadcasts it where its measured size allows.
-"""
+"""Term statistics of a corpus, and the best rows of groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import tokens
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def query_terms(queries: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(query, term, times): a term counts as often as the query says it."""
-    return queries.select(F.col(id_col).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+from .search import EPSILON
 
 
 def term_statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,35 +18,7 @@ def term_statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.join(F.broadcast(mean)).select("term", "df", floor.alias("idf")), size
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str) -> DataFrame:
-    """(query, doc, score, matched) of all documents that share a term with a query; matched counts the distinct shared terms."""
-    tokenised = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("tokens"))
-    stats, size = term_statistics(tokenised)
-    asked = query_terms(queries, query_id, query_text)
-    wanted = asked.select("term").distinct()
-    posted = tokenised.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    weighted = posted.join(stats.join(wanted, "term", "left_semi"), "term").join(F.broadcast(size.select("avgdl")))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.select("doc", "term", part.alias("part")).join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), 8).alias("score"), F.count("*").alias("matched"))
-
-
 def top_k(scores: DataFrame, k: int, by: str, score: str = "score", tie: str = "doc") -> DataFrame:
     """The k best rows of each group with their rank; rows that cannot be among them are cut before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Dot product of two float arrays, summed in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, doc, score) of a stated query set (query, qvec) against all unit vectors (doc, vec), clipped to [0, 1].
-
-    Queries are gathered into one array a block of vectors is scored against, so the vectors are read
-    once and not shuffled; the caller bounds the query set.
-    """
-    held = asked.agg(F.collect_list(F.struct("query", "qvec")).alias("queries"))
-    rows = vectors.join(F.broadcast(held)).select("doc", "vec", F.explode("queries").alias("q"))
-    return rows.select(F.col("q.query").alias("query"), "doc", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("vec"), F.col("q.qvec")))).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import cosine_scores
+from .search import nearest_in_blocks
 
 
 def first_of_each(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -18,8 +18,7 @@ def first_of_each(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def nearest_by_vector(vectors: DataFrame, asked: DataFrame, leak: float, borderline: float) -> DataFrame:
     """(query, best, nearest, verdict) of each query vector among all others; equal scores go to the smaller id."""
-    scores = cosine_scores(vectors, asked).where("query <> doc").withColumn("score", F.round("score", 8))
-    best = scores.groupBy("query").agg(F.max("score").alias("best"), F.max_by("doc", F.struct("score", -F.col("doc"))).alias("nearest"))
+    best = nearest_in_blocks(vectors, asked, 1).select("query", F.col("score").alias("best"), F.col("doc").alias("nearest"))
     return best.withColumn("verdict", F.when(F.col("best") >= leak, "leak").when(F.col("best") >= borderline, "borderline").otherwise("clean"))
 
 

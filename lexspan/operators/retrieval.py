@@ -1,39 +1,51 @@
-"""Scores combined, boosted, overridden and re-ranked, as column expressions over (query, doc, ...) rows."""
+"""Rules on scores, overrides, re-ranking and bands of (query, doc, ...) rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BM25_WEIGHT, DENSE_WEIGHT = 0.15, 0.85
+from .search import HYBRID, Ranking
 
 
 @dataclass(frozen=True)
-class Boost:
-    """A factor on the score of documents for which a SQL condition holds."""
+class Rule:
+    """A factor on the score of a document for a query.
+
+    ``asks`` is a SQL condition on the query's columns, ``holds`` one on the document's. Where both hold the
+    score is multiplied by ``factor``, where only ``asks`` does by ``otherwise``. Rules of phase ``post`` are
+    applied to the mixed score before those of phase ``boost``.
+    """
 
     name: str
-    condition: str
+    asks: str
+    holds: str
     factor: float
+    otherwise: float = 1.0
+    phase: str = "boost"
 
 
-def share_of_best(score: Column, by: str = "query") -> Column:
-    """The score over the group's largest, if that is above 0."""
-    best = F.max(score).over(Window.partitionBy(by))
-    return F.when(best > 0, score / best).otherwise(score)
+def _number(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
 
+def factor_sql(rules: Sequence[Rule], without: str | None = None) -> str:
+    """The product of the factors that apply, post rules first, as SQL; ``without`` leaves one rule out."""
+    ordered = sorted((r for r in rules if r.name != without), key=lambda r: r.phase != "post")
+    return " * ".join([f"CASE WHEN ({r.asks}) AND ({r.holds}) THEN {_number(r.factor)} WHEN {r.asks} THEN {_number(r.otherwise)} ELSE {_number(1.0)} END" for r in ordered] or [_number(1.0)])
 
-def hybrid(bm25_share: Column, dense: Column) -> Column:
-    return F.round(F.lit(BM25_WEIGHT) * bm25_share + F.lit(DENSE_WEIGHT) * F.coalesce(dense, F.lit(0.0)), 8)
 
+def most_sql(rules: Sequence[Rule]) -> str:
+    """The largest product of factors that a query can meet, as SQL over its columns."""
+    return " * ".join([f"CASE WHEN {r.asks} THEN {_number(max(1.0, r.factor, r.otherwise))} ELSE {_number(1.0)} END" for r in rules] or [_number(1.0)])
 
-def boost_factor(rules: Sequence[Boost], without: str | None = None) -> Column:
-    """The product of the factors that apply; ``without`` leaves one rule out."""
-    return reduce(lambda a, r: a * F.when(F.expr(r.condition), F.lit(r.factor)).otherwise(F.lit(1.0)), (r for r in rules if r.name != without), F.lit(1.0))
+
+def boosted(name: str, rules: Sequence[Rule], without: str | None = None, score: str = HYBRID.score) -> Ranking:
+    """The hybrid order with the factors of the rules."""
+    return Ranking(name, f"round({score} * ({factor_sql(rules, without)}) + {_number(1e-11)}, 8)", HYBRID.lexical, HYBRID.dense, most_sql([r for r in rules if r.name != without]))
 
 
 def override(score: Column, priority: Column, by: str = "query") -> Column:
@@ -49,7 +61,8 @@ def two_phase(scored: DataFrame, relevance: str, pool: int = 20, reranked: int =
     """The ``pool`` best rows by ``score``; the first ``reranked`` mix their share of the best score with the second scorer, the rest keep their order; cut to k."""
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     top = scored.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= pool)
-    share = F.lit(weight) * F.col("score") / F.max("score").over(Window.partitionBy("query"))
+    best = F.max("score").over(Window.partitionBy("query"))
+    share = F.when(best > 0, F.lit(weight) * F.col("score") / best).otherwise(0.0)
     final = F.round(share + F.when(F.col("place") <= reranked, F.lit(1 - weight) * sigmoid(F.col(relevance))).otherwise(0.0), 8)
     ordered = Window.partitionBy("query").orderBy((F.col("place") > reranked).cast("int"), F.desc("final"), "doc")
     return top.withColumn("final", final).withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
@@ -57,5 +70,6 @@ def two_phase(scored: DataFrame, relevance: str, pool: int = 20, reranked: int =
 
 def confidence_band(score: Column, by: str = "query") -> Column:
     """high, medium or low, by the score's ratio to the group's best."""
-    ratio = score / F.max(score).over(Window.partitionBy(by))
+    best = F.max(score).over(Window.partitionBy(by))
+    ratio = F.when(best > 0, score / best).otherwise(0.0)
     return F.when(ratio >= 0.95, "high").when(ratio >= 0.80, "medium").otherwise("low")

@@ -9,7 +9,7 @@ from lexspan.operators import evaluate, features
 from lexspan.sources.tables import table
 
 from .registry import query
-from .retrieval import BM25_CTE, BOOST_CTE, GOLD_CTE, bm25, boosted_pairs, gold
+from .retrieval import BM25_CTE, BOOST_CTE, BOOSTED, GOLD_CTE, best, bm25_ranks, gold
 
 _FIRST = f"""{BM25_CTE}, {GOLD_CTE},
 ranked AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm25),
@@ -20,9 +20,7 @@ round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(coalesce(CASE W
 
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, rank) of the first of a query's gold documents among its ten best by BM25; null if there is none."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    ranked = bm25(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return gold(spark, sf_dir).join(ranked, ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("rank"))
+    return gold(spark, sf_dir).join(bm25_ranks(spark, sf_dir, 10), ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("rank"))
 
 
 @query(f"WITH {_FIRST} SELECT {_METRICS} FROM firsts")
@@ -39,8 +37,7 @@ def category_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, n_gold, hits, round(hits / 5.0::DOUBLE, 6) AS p5, round(least(hits, n_gold) / n_gold::DOUBLE, 6) AS r5 FROM h""")
 def multi_gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at five where a query has several right documents."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    top = bm25(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query", "doc", "rank")
+    top = bm25_ranks(spark, sf_dir, 5).select("query", "doc", "rank")
     h = gold(spark, sf_dir).join(top, ["query", "doc"], "left").groupBy("query").agg(F.count("*").alias("n_gold"), F.count("rank").alias("hits"))
     return h.select("query", "n_gold", "hits", F.round(F.col("hits") / 5.0, 6).alias("p5"), F.round(F.least("hits", "n_gold") / F.col("n_gold"), 6).alias("r5"))
 
@@ -50,8 +47,7 @@ def multi_gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, round(avg(strict::INT), 6) AS strict, round(avg((strict OR same_lang)::INT), 6) AS lenient, count(*) FILTER (WHERE NOT strict AND same_lang) AS near_misses, count(*) FILTER (WHERE NOT strict AND NOT same_lang) AS misses FROM t""")
 def lenient_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at five by the right document, and by any document of its language."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    top = bm25(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query", "doc")
+    top = bm25_ranks(spark, sf_dir, 5).select("query", "doc")
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
     g = gold(spark, sf_dir)
     want = g.join(langs, "doc").groupBy("query").agg(F.min("lang").alias("want"))
@@ -163,7 +159,7 @@ _DEPTHS, _WEIGHTS = (5, 10, 15, 20), (0.2, 0.4, 0.5, 0.6, 0.8)
 
 @query(f"""WITH {BOOST_CTE}, {GOLD_CTE}, grid AS (SELECT * FROM (VALUES {", ".join(f"({n})" for n in _DEPTHS)}) a(n), (VALUES {", ".join(f"({w}::DOUBLE)" for w in _WEIGHTS)}) b(w)),
 p AS (SELECT query, doc, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM boosted QUALIFY place <= 20),
-x AS (SELECT n, w, query, doc, place, place > n AS tail, round(w * score / max(score) OVER (PARTITION BY n, w, query) + CASE WHEN place <= n THEN (1 - w) * matched / max(matched) OVER (PARTITION BY n, w, query) ELSE 0 END, 8) AS f FROM p, grid),
+x AS (SELECT n, w, query, doc, place, place > n AS tail, round(CASE WHEN max(score) OVER (PARTITION BY n, w, query) > 0 THEN w * score / max(score) OVER (PARTITION BY n, w, query) ELSE 0 END + CASE WHEN place <= n THEN (1 - w) * matched / greatest(max(matched) OVER (PARTITION BY n, w, query), 1) ELSE 0 END, 8) AS f FROM p, grid),
 k AS (SELECT n, w, query, doc, row_number() OVER (PARTITION BY n, w, query ORDER BY tail::INT, f DESC, doc) AS rank FROM x),
 r AS (SELECT n, w, k.query, min(CASE WHEN g.doc IS NOT NULL THEN rank END) AS rank FROM k LEFT JOIN gold g USING (query, doc) WHERE k.query IN (SELECT query FROM gold) GROUP BY 1, 2, 3),
 g AS (SELECT n, w, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r GROUP BY 1, 2)
@@ -171,11 +167,13 @@ SELECT n, w, mrr, row_number() OVER (ORDER BY mrr DESC, n, w) = 1 AS best FROM g
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean reciprocal rank for each re-ranking depth and weight, over one scored pool; the best cell is marked, the first on a tie."""
     grid = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n in _DEPTHS for w in _WEIGHTS])
-    pool = boosted_pairs(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where("place <= 20")
+    pool = best(spark, sf_dir, [BOOSTED], 20).withColumnRenamed("rank", "place")
     g = gold(spark, sf_dir)
     pool = pool.join(g.select("query").distinct(), "query", "left_semi").select("query", "doc", "score", "matched", "place", F.explode(grid).alias("g")).select("query", "doc", "score", "matched", "place", "g.*")
     cell = Window.partitionBy("n", "w", "query")
-    mixed = F.round(F.col("w") * F.col("score") / F.max("score").over(cell) + F.when(F.col("place") <= F.col("n"), (1 - F.col("w")) * F.col("matched") / F.max("matched").over(cell)).otherwise(0), 8)
+    top = F.max("score").over(cell)
+    share = F.when(top > 0, F.col("w") * F.col("score") / top).otherwise(0.0)
+    mixed = F.round(share + F.when(F.col("place") <= F.col("n"), (1 - F.col("w")) * F.col("matched") / F.greatest(F.max("matched").over(cell), F.lit(1))).otherwise(0), 8)
     ranked = pool.withColumn("f", mixed).withColumn("rank", F.row_number().over(cell.orderBy((F.col("place") > F.col("n")).cast("int"), F.desc("f"), "doc")))
     firsts = ranked.join(g.withColumn("hit", F.lit(1)), ["query", "doc"], "left").groupBy("n", "w", "query").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("rank"))
     cells = firsts.groupBy("n", "w").agg(F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
