@@ -3,49 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import HYBRID, Ranking
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A factor on the score of a document for a query.
-
-    ``asks`` is a SQL condition on the query's columns, ``holds`` one on the document's. Where both hold the
-    score is multiplied by ``factor``, where only ``asks`` does by ``otherwise``. Rules of phase ``post`` are
-    applied to the mixed score before those of phase ``boost``.
-    """
-
-    name: str
-    asks: str
-    holds: str
-    factor: float
-    otherwise: float = 1.0
-    phase: str = "boost"
-
-
-def _number(x: float) -> str:
-    return f"CAST({x!r} AS DOUBLE)"
-
-
-def factor_sql(rules: Sequence[Rule], without: str | None = None) -> str:
-    """The product of the factors that apply, post rules first, as SQL; ``without`` leaves one rule out."""
-    ordered = sorted((r for r in rules if r.name != without), key=lambda r: r.phase != "post")
-    return " * ".join([f"CASE WHEN ({r.asks}) AND ({r.holds}) THEN {_number(r.factor)} WHEN {r.asks} THEN {_number(r.otherwise)} ELSE {_number(1.0)} END" for r in ordered] or [_number(1.0)])
-
-
-def most_sql(rules: Sequence[Rule]) -> str:
-    """The largest product of factors that a query can meet, as SQL over its columns."""
-    return " * ".join([f"CASE WHEN {r.asks} THEN {_number(max(1.0, r.factor, r.otherwise))} ELSE {_number(1.0)} END" for r in rules] or [_number(1.0)])
+from .search import HYBRID, Ranking, Rule, number
 
 
 def boosted(name: str, rules: Sequence[Rule], without: str | None = None, score: str = HYBRID.score) -> Ranking:
-    """The hybrid order with the factors of the rules."""
-    return Ranking(name, f"round({score} * ({factor_sql(rules, without)}) + {_number(1e-11)}, 8)", HYBRID.lexical, HYBRID.dense, most_sql([r for r in rules if r.name != without]))
+    """The hybrid order with the factors of the rules; ``without`` leaves one out."""
+    return Ranking(name, f"round({score} * {{factor}} + {number(1e-11)}, 8)", HYBRID.lexical, HYBRID.dense, tuple(r for r in rules if r.name != without))
 
 
 def override(score: Column, priority: Column, by: str = "query") -> Column:

@@ -10,20 +10,24 @@ Both streams give the best documents by one part of a score, and the least part
 them can still have. With these the best possible score of all other documents is known. Where it is not
 below the k-th best score found, the query goes on with four times the depth. So every document counts,
 those without a shared word too, and no row is made for each query and document.
+
+Rules multiply scores. Their conditions on documents are read once, as bits beside the postings, those on
+queries as bits of the block, so both streams know a document's factor and are in the order of their part
+times it: the bound holds for ruled scores as it does for plain ones.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import STOP_WORDS, tokens
@@ -40,20 +44,37 @@ _LOWER = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _DROPPED = [*(w.encode() for w in STOP_WORDS if len(w) > 1), *(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")]
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A factor on the score of a document for a query.
+
+    ``asks`` is a SQL condition on the query's columns, ``holds`` one on the document's. Where both hold the
+    score is multiplied by ``factor``, where only ``asks`` does by ``otherwise``. Rules of phase ``post`` are
+    applied to the mixed score before those of phase ``boost``.
+    """
+
+    name: str
+    asks: str
+    holds: str
+    factor: float
+    otherwise: float = 1.0
+    phase: str = "boost"
+
+
 @dataclass(frozen=True)
 class Ranking:
     """One order of documents.
 
-    ``score`` is a SQL expression over bm25, matched, share (bm25 over the query's best), dense, and the
-    columns of the document and of the query. No document may score above ``most`` times
-    (``lexical`` * share + ``dense`` * dense); ``most`` is a SQL expression over the query's columns.
+    ``score`` is a SQL expression over bm25, matched, share (bm25 over the query's best), dense and
+    {factor}, the product of the factors of ``rules``. No document may score above that product
+    times (``lexical`` * share + ``dense`` * dense).
     """
 
     name: str
     score: str
     lexical: float
     dense: float
-    most: str = "1.0D"
+    rules: tuple[Rule, ...] = ()
 
 
 BM25 = Ranking("bm25", "bm25", 1.0, 0.0)
@@ -61,6 +82,43 @@ DENSE = Ranking("dense", f"round(dense, {DIGITS})", 0.0, 1.0)
 HYBRID = Ranking("hybrid", f"round(0.15D * share + 0.85D * dense, {DIGITS})", 0.15, 0.85)
 
 
+def number(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def factor_sql(rules: Sequence[Rule], asks: Sequence[str] | None = None, holds: Sequence[str] | None = None) -> str:
+    """The product of the factors that apply, post rules first, as SQL; conditions may be given in another form, in the order of the rules."""
+    forms = zip(rules, asks or [r.asks for r in rules], holds or [r.holds for r in rules], strict=True)
+    ordered = sorted(forms, key=lambda f: f[0].phase != "post")
+    return " * ".join([f"CASE WHEN ({a}) AND ({h}) THEN {number(r.factor)} WHEN {a} THEN {number(r.otherwise)} ELSE {number(1.0)} END" for r, a, h in ordered] or [number(1.0)])
+
+
+class Conditions:
+    """The conditions of all rankings as bits of two whole numbers."""
+
+    def __init__(self, rankings: Sequence[Ranking]) -> None:
+        rules = [r for x in rankings for r in x.rules]
+        self.asks, self.holds = list(dict.fromkeys(r.asks for r in rules)), list(dict.fromkeys(r.holds for r in rules))
+        if max(len(self.asks), len(self.holds)) > 62:
+            raise ValueError("more than 62 different conditions")
+
+    @staticmethod
+    def bits(conditions: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(F.expr(c), 1 << i).otherwise(0).cast("long") for i, c in enumerate(conditions)], F.lit(0).cast("long"))
+
+    def sql(self, rules: Sequence[Rule]) -> str:
+        bit = lambda name, known, c: f"(({name} & {1 << known.index(c)}L) <> 0)"
+        return factor_sql(rules, [bit("__asks", self.asks, r.asks) for r in rules], [bit("__holds", self.holds, r.holds) for r in rules])
+
+    def factors(self, rules: Sequence[Rule], asks: np.ndarray, holds: np.ndarray) -> np.ndarray:
+        """The factor of each document (bits ``holds``) for each query (bits ``asks``)."""
+        out = np.ones((len(holds), len(asks)))
+        for r in rules:
+            a, h = (asks >> self.asks.index(r.asks)) & 1 == 1, (holds >> self.holds.index(r.holds)) & 1 == 1
+            out[:, a] *= np.where(h, r.factor, r.otherwise)[:, None]
+        return out
+
+
 def term_counter(text: str | None) -> Counter:
     """Occurrences of each token of a text, by the rule of ``functions.text.tokens``."""
     found = Counter(text.lower().encode("utf-8").translate(_LOWER).split() if text else ())
@@ -80,6 +138,7 @@ class Block:
         self.query = np.array([c[1] for c in cells], np.int64)
         self.times = np.array([c[2] for c in cells], float)
         self.start = np.searchsorted(np.array([c[0] for c in cells], np.int64), np.arange(len(self.terms) + 1))
+        self.asks = np.array([q["asks"] for q in queries], np.int64)
         self.vectors = [None if q["qvec"] is None or any(x is None for x in q["qvec"]) else np.array(q["qvec"], float) for q in queries]
 
 
@@ -115,12 +174,18 @@ class Best:
         return self.parts[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out if Spark reads it in fewer pieces than it has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _postings(docs: DataFrame, block: Block, counts: bool) -> DataFrame:
-    """Rows of three parts from (doc, text): documents with the block's terms, sizes by task, and, if asked, document counts of all terms."""
+    """Rows of three parts from (doc, text, holds): documents with the block's terms, sizes by task, and, if asked, document counts of all terms."""
     shared = docs.sparkSession.sparkContext.broadcast(block.terms)
     doc_kind = docs.schema["doc"].dataType
     doc_arrow = pa.int64() if doc_kind.simpleString() == "bigint" else pa.string()
-    schema = pa.schema([("part", pa.string()), ("doc", doc_arrow), ("dl", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.string()), ("doc", doc_arrow), ("holds", pa.int64()), ("dl", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("term", pa.string()), ("n", pa.int64())])
 
     def rows(part: str, k: int, **columns: object) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part] * k) if f.name == "part" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
@@ -128,27 +193,24 @@ def _postings(docs: DataFrame, block: Block, counts: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, seen, n, total = shared.value, Counter(), 0, 0
         for batch in batches:
-            ids, dl, terms, tfs = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            dl, terms, tfs = [], [], []
+            for text in batch.column(1):
                 found = term_counter(text.as_py())
-                size = found.total()
-                n, total = n + 1, total + size
+                dl.append(found.total())
                 if counts:
                     seen.update(found.keys())
                 both = found.keys() & asked.keys()
-                if both:
-                    ids.append(doc)
-                    dl.append(size)
-                    terms.append([asked[t] for t in both])
-                    tfs.append([found[t] for t in both])
-            yield rows("doc", len(ids), doc=ids, dl=dl, terms=terms, tfs=tfs)
+                terms.append([asked[t] for t in both])
+                tfs.append([found[t] for t in both])
+            n, total = n + len(dl), total + sum(dl)
+            yield rows("doc", len(dl), doc=batch.column(0), holds=batch.column(2), dl=dl, terms=terms, tfs=tfs)
             if len(seen) > HELD:
                 yield rows("term", len(seen), term=list(seen), n=list(seen.values()))
                 seen = Counter()
         yield rows("term", len(seen), term=list(seen), n=list(seen.values()))
         yield rows("size", 1, dl=[total], n=[n])
 
-    return docs.select("doc", "text").mapInArrow(work, f"part string, doc {doc_kind.simpleString()}, dl long, terms array<int>, tfs array<int>, term string, n long")
+    return spread(docs.select("doc", "text", "holds")).mapInArrow(work, f"part string, doc {doc_kind.simpleString()}, holds long, dl long, terms array<int>, tfs array<int>, term string, n long")
 
 
 class Lexical:
@@ -171,170 +233,172 @@ class Lexical:
         return np.round(score, DIGITS).reshape(-1, self.n), np.bincount(place, minlength=len(rows) * self.n).reshape(-1, self.n)
 
 
-def _best_rows(scored: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, depth: int, open_queries: np.ndarray, doc: pa.DataType) -> Iterator[pa.RecordBatch]:
-    best = Best(n, depth)
-    for row, query, score, matched in scored:
-        best.add(query, score, row, matched)
-    if best.parts:
-        query, score, row, matched = best.cut()
-        kept = open_queries[query]
-        yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(row[kept], doc), pa.array(score[kept]), pa.array(matched[kept], pa.int64())], names=["__q", "doc", "score", "matched"])
+def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], factors: Callable[[np.ndarray], list[np.ndarray | None]], open_queries: np.ndarray, depth: int, doc: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The ``depth`` best rows of each query and variant (a factor of each document and query, or none) in a task."""
+    n, best = len(open_queries), None
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            rows = batch.slice(i, ROWS)
+            plain, matched = score(rows)
+            ids = np.asarray(rows.column("doc").to_numpy(zero_copy_only=False))
+            row, query = np.nonzero((plain > 0) & open_queries[None])
+            ruled = factors(rows.column("holds").to_numpy(zero_copy_only=False))
+            best = best or Best(n * len(ruled), depth)
+            for v, factor in enumerate(ruled):
+                value = plain[row, query] if factor is None else plain[row, query] * factor[row, query]
+                best.add(v * n + query, value, ids[row], matched[row, query])
+    if best and best.parts:
+        query, value, row, matched = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(query // n), pa.array(query % n), pa.array(row, doc), pa.array(value), pa.array(matched, pa.int64())], names=["__v", "__q", "doc", "score", "matched"])
 
 
 def search(docs: DataFrame, queries: DataFrame, rankings: Sequence[Ranking], k: int, vectors: DataFrame | None = None, matching_only: bool = False) -> DataFrame:
     """(ranking, query, doc, bm25, matched, share, dense, score, rank): the k best of all documents for each query and ranking.
 
-    ``docs`` has doc, text and columns that scores may read; ``queries`` has query, text, and others likewise;
-    ``vectors`` has doc and vec, and then ``queries`` has qvec. With ``matching_only`` documents
+    ``docs`` has doc, text and columns that rules read; ``queries`` has query, text, and others likewise;
+    ``vectors`` has doc and vec, and then ``queries`` has qvec. With ``matching_only``, for orders by words alone and without rules, documents
     that share no term with the query are no answer. Ties go to the smaller document.
 
     Defined results: null and empty texts have no terms; a document or query without a vector, or with one of
     another length, has dense 0; negative products are 0; null ids take no part; ids do not repeat; an
     empty table gives an empty table.
     """
-    docs, queries = docs.where("doc IS NOT NULL"), queries.where("query IS NOT NULL")
-    asked = queries.select("query", tokens(F.col("text")).alias("tokens"), F.col("qvec").cast("array<double>").alias("qvec") if vectors is not None else F.lit(None).cast("array<double>").alias("qvec"))
+    conditions = Conditions(rankings)
+    docs = docs.where("doc IS NOT NULL").select("doc", "text", conditions.bits(conditions.holds).alias("holds"))
+    qvec = F.col("qvec").cast("array<double>") if vectors is not None else F.lit(None).cast("array<double>")
+    asked = queries.where("query IS NOT NULL").select("query", tokens(F.col("text")).alias("tokens"), qvec.alias("qvec"), conditions.bits(conditions.asks).alias("asks"))
     parts, held, counted = [], [], None
     for q in asked.orderBy("query").toLocalIterator():
         held.append(q)
         if len(held) == BLOCK:
-            found, counted = _search_block(docs, queries, Block(held), rankings, k, vectors, matching_only, counted)
+            found, counted = _search_block(docs, Block(held), conditions, rankings, k, vectors, matching_only, counted)
             parts, held = [*parts, *found], []
-    if held or not parts:
-        parts += _search_block(docs, queries, Block(held), rankings, k, vectors, matching_only, counted)[0]
-    return reduce(DataFrame.union, parts)
+    if held:
+        parts += _search_block(docs, Block(held), conditions, rankings, k, vectors, matching_only, counted)[0]
+    kinds = queries.schema["query"].dataType.simpleString(), docs.schema["doc"].dataType.simpleString()
+    empty = "ranking string, query {}, doc {}, bm25 double, matched long, share double, dense double, score double, rank int".format(*kinds)
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], empty)
+
 
+def _statistics(posted: DataFrame) -> tuple[int, float, DataFrame, float]:
+    """Documents, their mean length, (term, raw idf) of all terms, and the mean of that."""
+    size = posted.where("part = 'size'").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
+    n = size["n"] or 0
+    df = posted.where("part = 'term'").groupBy("term").agg(F.sum("n").alias("df"))
+    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = materialise(df.select("term", raw.alias("raw")), "terms")
+    return n, max(1e-9, (size["dl"] or 0) / max(1, n)), terms, terms.agg(F.avg("raw")).first()[0] or 0.0
 
-def _search_block(docs: DataFrame, queries: DataFrame, block: Block, rankings: Sequence[Ranking], k: int, vectors: DataFrame | None, matching_only: bool, counted: tuple | None) -> tuple[list[DataFrame], tuple]:
+
+def _search_block(docs: DataFrame, block: Block, conditions: Conditions, rankings: Sequence[Ranking], k: int, vectors: DataFrame | None, matching_only: bool, counted: tuple | None) -> tuple[list[DataFrame], tuple]:
     spark, n = docs.sparkSession, len(block.ids)
-    doc_kind, query_kind = docs.schema["doc"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    doc_kind = docs.schema["doc"].dataType.simpleString()
     doc_arrow = pa.int64() if doc_kind == "bigint" else pa.string()
     posted = materialise(_postings(docs, block, counted is None), "postings")
-    if counted is None:
-        size = posted.where("part = 'size'").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
-        n_docs = size["n"] or 0
-        held = posted.where("part = 'term'").groupBy("term").agg(F.sum("n").alias("df"))
-        raw = F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        frequencies = materialise(held.withColumn("raw", raw), "document_counts")
-        mean = frequencies.agg(F.avg("raw")).first()[0] or 0.0
-        counted = n_docs, max(1e-9, (size["dl"] or 0) / max(1, n_docs)), frequencies, mean
-    n_docs, mean_length, frequencies, mean = counted
+    counted = counted or _statistics(posted)
+    n_docs, mean_length, terms, mean = counted
     wanted = spark.createDataFrame(pa.table({"term": pa.array([t.decode() for t in block.terms], pa.string()), "i": pa.array(block.terms.values(), pa.int64())}))
     idf = np.zeros(len(block.terms))
-    for r in frequencies.join(F.broadcast(wanted), "term").select("i", "raw").collect():  # a row for each term of the block
+    for r in terms.join(F.broadcast(wanted), "term").select("i", "raw").collect():  # a row for each term of the block
         idf[r["i"]] = r["raw"] if r["raw"] >= 0 else EPSILON * mean
-    by_doc = posted.where("part = 'doc'").select("doc", "dl", "terms", "tfs")
+    by_doc = posted.where("part = 'doc'").select("doc", "holds", "dl", "terms", "tfs")
     lexical = spark.sparkContext.broadcast(Lexical(block, idf, mean_length))
     dim = max([len(v) for v in block.vectors if v is not None], default=0)
-    with_vector = np.array([v is not None and len(v) == dim and dim > 0 for v in block.vectors], bool)
-    matrix = np.array([v if ok else np.zeros(dim) for v, ok in zip(block.vectors, with_vector, strict=True)]).reshape(n, dim)
-    held_matrix = spark.sparkContext.broadcast(matrix)
-    own = queries.join(F.broadcast(spark.createDataFrame([(q, i) for i, q in enumerate(block.ids)], f"query {query_kind}, __q long")), "query")  # a block of ids
+    matrix = spark.sparkContext.broadcast(np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in block.vectors]).reshape(n, dim))
+    names = spark.createDataFrame([(i, q, int(a), v if v is None else v.tolist()) for i, (q, a, v) in enumerate(zip(block.ids, block.asks, block.vectors, strict=True))], f"__q long, query {'string' if isinstance(block.ids[0], str) else 'long'}, __asks long, qvec array<double>")  # a block of queries
+    variants = list(dict.fromkeys([(), *(r.rules for r in rankings)]))
+
+    def factors(holds: np.ndarray) -> list[np.ndarray | None]:
+        return [conditions.factors(rules, block.asks, holds) if rules else None for rules in variants]
+
+    def dense_scores(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(rows.column("vec")), dim), False).to_numpy(zero_copy_only=False)
+        score = np.zeros((len(rows), n))
+        flat = rows.column("vec").filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+        score[fits] = np.round(np.clip(flat @ matrix.value.T, 0, 1), DIGITS)
+        return np.nan_to_num(score), np.zeros((len(rows), n), np.int64)
+
+    row_kind = f"__v long, __q long, doc {doc_kind}, score double, matched long"
+
+    def stream(source: DataFrame, score: Callable, open_queries: np.ndarray, depth: int) -> DataFrame:
+        found = source.mapInArrow(lambda batches: _best_rows(batches, score, factors, open_queries, depth, doc_arrow), row_kind)
+        by = Window.partitionBy("__v", "__q").orderBy(F.desc("score"), "doc")
+        return found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= depth).drop("at")
+
+    by_words = lambda rows: lexical.value.scores(rows)
+    keep = ["query", "doc", "bm25", "matched", "share", "dense"]
+    if matching_only:
+        if any(r.dense or r.rules for r in rankings):
+            raise ValueError("matching_only is for orders by words alone")
+        top = materialise(stream(by_doc, by_words, np.ones(n, bool), k), "best").withColumnsRenamed({"score": "bm25"})
+        first = F.max("bm25").over(Window.partitionBy("__q"))
+        rows = top.withColumns({"share": F.when(first > 0, F.col("bm25") / first).otherwise(F.col("bm25")), "dense": F.lit(0.0)}).join(F.broadcast(names.select("__q", "query")), "__q")
+        ordered = [rows.select(F.lit(r.name).alias("ranking"), *keep, F.expr(r.score).cast("double").alias("score")) for r in rankings]
+        by = Window.partitionBy("ranking", "query").orderBy(F.desc("score"), "doc")
+        return [reduce(DataFrame.union, ordered).withColumn("rank", F.row_number().over(by))], counted
+
+    vector_rows = None
+    if vectors is not None and dim and any(r.dense for r in rankings):
+        own = vectors.where("doc IS NOT NULL AND vec IS NOT NULL").select("doc", "vec")
+        vector_rows = materialise(own.join(by_doc.select("doc", "holds"), "doc"), "vectors") if any(r.rules for r in rankings) else own.withColumn("holds", F.lit(0).cast("long")).join(by_doc.select("doc"), "doc", "left_semi")
     first_docs = F.array(*[F.lit(r["doc"]) for r in docs.select("doc").orderBy("doc").limit(k).collect()]).cast(f"array<{doc_kind}>")
 
-    def lexical_stream(open_queries: np.ndarray, depth: int) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def scored() -> Iterator[tuple]:
-                for batch in batches:
-                    for i in range(0, len(batch), ROWS):
-                        rows = batch.slice(i, ROWS)
-                        score, matched = lexical.value.scores(rows)
-                        row, query = np.nonzero((matched > 0) & open_queries[None])
-                        yield np.asarray(rows.column("doc").to_numpy(zero_copy_only=False))[row], query, score[row, query], matched[row, query]
-
-            yield from _best_rows(scored(), n, depth, open_queries, doc_arrow)
-
-        return _merged(by_doc.mapInArrow(work, f"__q long, doc {doc_kind}, score double, matched long"), depth)
-
-    def dense_stream(open_queries: np.ndarray, depth: int) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def scored() -> Iterator[tuple]:
-                for batch in batches:
-                    for i in range(0, len(batch), ROWS):
-                        rows = batch.slice(i, ROWS)
-                        whole = pc.equal(pc.list_value_length(rows.column("vec")), dim)
-                        rows = rows.filter(whole)
-                        flat = rows.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-                        score = np.round(np.clip(flat @ held_matrix.value.T, 0, 1), DIGITS)
-                        row, query = np.nonzero((score > 0) & open_queries[None])
-                        yield np.asarray(rows.column("doc").to_numpy(zero_copy_only=False))[row], query, score[row, query], np.zeros(len(row), np.int64)
-
-            yield from _best_rows(scored(), n, depth, open_queries, doc_arrow)
-
-        return _merged(vectors.where("doc IS NOT NULL").select("doc", "vec").mapInArrow(work, f"__q long, doc {doc_kind}, score double, matched long"), depth)
-
-    def lexical_pairs(pairs: DataFrame) -> DataFrame:
-        """bm25 and matched of the pairs (q, doc) that share a term; ``qs`` holds at most the queries of a block."""
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, len(batch), ROWS):
-                    rows = batch.slice(i, ROWS)
-                    score, matched = lexical.value.scores(rows)
-                    query = rows.column("qs").flatten().to_numpy(zero_copy_only=False)
-                    row = np.repeat(np.arange(len(rows)), pc.list_value_length(rows.column("qs")).to_numpy(zero_copy_only=False))
-                    hit = matched[row, query] > 0
-                    row, query = row[hit], query[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(query), rows.column("doc").take(pa.array(row)), pa.array(score[row, query]), pa.array(matched[row, query])], names=["__q", "doc", "bm25", "matched"])
-
-        asked = pairs.groupBy("doc").agg(F.collect_set("__q").alias("qs"))
-        return by_doc.join(asked, "doc").select("doc", "dl", "terms", "tfs", "qs").mapInArrow(work, f"__q long, doc {doc_kind}, bm25 double, matched long")
-
-    needs_vectors = vectors is not None and any(r.dense for r in rankings)
-    lexical_only = all(r.dense == 0 and r.most == "1.0D" for r in rankings)
+    def pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), ROWS):
+                rows = batch.slice(i, ROWS)
+                score, matched = lexical.value.scores(rows)
+                query = rows.column("qs").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(rows)), pc.list_value_length(rows.column("qs")).to_numpy(zero_copy_only=False))
+                out = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(query), rows.column("doc").take(out), rows.column("holds").take(out), pa.array(score[row, query]), pa.array(matched[row, query], pa.int64())], names=["__q", "doc", "__holds", "bm25", "matched"])
+
     open_queries, depth, parts = np.ones(n, bool), max(DEPTH, k), []
+    last = lambda df: df.groupBy("__v", "__q").agg(F.count("*").alias("n"), F.min("score").alias("last"), F.max("score").alias("best")).collect()
     while open_queries.any():
-        lex = materialise(lexical_stream(open_queries, depth), "lexical")
-        streams = [lex.select("__q", "doc")]
-        limits = {r["__q"]: r for r in lex.groupBy("__q").agg(F.count("*").alias("n"), F.min("score").alias("last"), F.max("score").alias("best")).collect()}  # a row a query of the block
-        ends: dict[int, float] = {}
-        if needs_vectors and dim:
-            dense = materialise(dense_stream(open_queries, depth), "dense")
-            streams.append(dense.select("__q", "doc"))
-            ends = {r["__q"]: r["last"] if r["n"] >= depth else 0.0 for r in dense.groupBy("__q").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()}
-        still = [int(q) for q in np.flatnonzero(open_queries)]
-        best = {q: limits[q]["best"] if q in limits else 0.0 for q in still}
-        state = spark.createDataFrame([(q, best[q], (limits[q]["last"] / best[q] if best[q] > 0 else limits[q]["last"]) if q in limits and limits[q]["n"] >= depth else 0.0, ends.get(q, 0.0)) for q in still], "__q long, __best double, __share double, __dense double")
-        if matching_only:
-            rows = lex.select("__q", "doc", F.col("score").alias("bm25"), "matched")
-        else:
-            pairs = reduce(DataFrame.union, [*streams, state.select("__q", F.explode(first_docs).alias("doc"))]).distinct()  # documents without any score come by their ids
-            pairs = materialise(pairs, "candidates")
-            rows = pairs.join(lexical_pairs(pairs), ["__q", "doc"], "left")
-        rows = rows.join(F.broadcast(state), "__q")
-        bm25 = F.coalesce("bm25", F.lit(0.0))
-        rows = rows.withColumns({"bm25": bm25, "matched": F.coalesce("matched", F.lit(0).cast("long")), "share": F.when(F.col("__best") > 0, bm25 / F.col("__best")).otherwise(bm25)})
-        if needs_vectors:
-            vec = vectors.select("doc", "vec").where(F.size("vec") == dim)
-            product = F.aggregate(F.zip_with("vec", F.col("qvec").cast("array<double>"), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-            vec_rows = rows.select("__q", "doc").join(vec, "doc").join(F.broadcast(own.select("__q", "qvec").where(F.size("qvec") == dim)), "__q").select("__q", "doc", F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)).alias("dense"))
-            rows = rows.join(vec_rows, ["__q", "doc"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
+        streams = [materialise(stream(by_doc, by_words, open_queries, depth), "lexical")]
+        ends = {(r["__v"], r["__q"]): r for r in last(streams[0])}  # a row for each variant and query of the block
+        far: dict[tuple[int, int], float] = {}
+        if vector_rows is not None:
+            streams.append(materialise(stream(vector_rows, dense_scores, open_queries, depth), "dense"))
+            far = {(r["__v"], r["__q"]): r["last"] for r in last(streams[1]) if r["n"] >= depth}
+        left = []  # what a document outside of the streams has at most, by ranking and query
+        for q in np.flatnonzero(open_queries).tolist():
+            top = ends[0, q]["best"] if (0, q) in ends else 0.0
+            for r in rankings:
+                v = variants.index(r.rules)
+                end = ends.get((v, q))
+                share = end["last"] / top if end and end["n"] >= depth and top > 0 else 0.0
+                left.append((r.name, q, top, r.lexical * share + r.dense * far.get((v, q), 0.0)))
+        state = spark.createDataFrame(left, "ranking string, __q long, __best double, left double")
+        known = state.groupBy("__q").agg(F.first("__best").alias("__best"))
+        pairs = reduce(DataFrame.union, [*(s.select("__q", "doc") for s in streams), known.select("__q", F.explode(first_docs).alias("doc"))])  # documents without any score come by their ids
+        asked = materialise(pairs.groupBy("doc").agg(F.collect_set("__q").alias("qs")), "candidates")  # at most a block of queries a document
+        rows = by_doc.join(asked, "doc").select("doc", "holds", "dl", "terms", "tfs", "qs").mapInArrow(pair_scores, f"__q long, doc {doc_kind}, __holds long, bm25 double, matched long").join(F.broadcast(known), "__q").join(F.broadcast(names), "__q")
+        rows = rows.withColumn("share", F.when(F.col("__best") > 0, F.col("bm25") / F.col("__best")).otherwise(F.col("bm25")))
+        if vector_rows is not None:
+            product = F.aggregate(F.zip_with("vec", "qvec", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+            dense = F.when((F.size("vec") == dim) & (F.size("qvec") == dim), F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)))
+            rows = rows.join(vector_rows.select("doc", "vec"), "doc", "left").withColumn("dense", F.coalesce(dense, F.lit(0.0)))
         else:
             rows = rows.withColumn("dense", F.lit(0.0))
-        described = rows.join(docs, "doc").join(F.broadcast(own.drop("qvec", "text")), "__q")
-        variants = [F.struct(F.lit(r.name).alias("ranking"), F.expr(r.score).cast("double").alias("score"), (F.expr(r.most) * (r.lexical * F.col("__share") + r.dense * F.col("__dense"))).cast("double").alias("left")) for r in rankings]
-        keep = ["query", "doc", "bm25", "matched", "share", "dense"]
-        scored = described.select("__q", *keep, F.explode(F.array(*variants)).alias("v")).select("__q", *keep, "v.*")
+        orders = [F.struct(F.lit(r.name).alias("ranking"), F.expr(r.score.replace("{factor}", f"({conditions.sql(r.rules)})")).cast("double").alias("score")) for r in rankings]
+        scored = rows.select("__q", *keep, F.explode(F.array(*orders)).alias("o")).select("__q", *keep, "o.*")
         by = Window.partitionBy("ranking", "__q").orderBy(F.desc("score"), "doc")
-        top = materialise(scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "best")
+        found = materialise(scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "best")
         done = open_queries.copy()
-        if not lexical_only and depth < n_docs:
-            short = top.groupBy("__q", "ranking").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("last"), F.max("left").alias("left")).where((F.col("left") > 0) & (F.col("last").isNull() | (F.col("left") + 2 * 10.0**-DIGITS >= F.col("last"))))
+        if depth < n_docs:
+            reached = found.groupBy("__q", "ranking").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("last")).join(F.broadcast(state), ["ranking", "__q"])
+            short = reached.where((F.col("left") > 0) & (F.col("last").isNull() | (F.col("left") + 10.0 ** (1 - DIGITS) >= F.col("last"))))
             for r in short.select("__q").distinct().collect():  # queries of the block
                 done[r["__q"]] = False
-        parts.append(top.join(F.broadcast(spark.createDataFrame([(int(q),) for q in np.flatnonzero(done)], "__q long")), "__q").select("ranking", *keep, "score", "rank"))
+        closed = spark.createDataFrame([(int(q),) for q in np.flatnonzero(done)], "__q long")
+        parts.append(found.join(F.broadcast(closed), "__q", "left_semi").select("ranking", *keep, "score", "rank"))
         open_queries &= ~done
         depth *= 4
-    if not parts:
-        parts = [spark.createDataFrame([], f"ranking string, query {query_kind}, doc {doc_kind}, bm25 double, matched long, share double, dense double, score double, rank int")]
     return parts, counted
 
 
-def _merged(rows: DataFrame, depth: int) -> DataFrame:
-    by = Window.partitionBy("__q").orderBy(F.desc("score"), "doc")
-    return rows.withColumn("at", F.row_number().over(by)).where(F.col("at") <= depth).drop("at")
-
-
 def nearest_in_blocks(vectors: DataFrame, asked: DataFrame, k: int, block: int = 2048, rows: int = 16384) -> DataFrame:
     """(query, doc, score, rank): the k largest inner products of unit vectors, clipped to [0, 1], of (query, qvec) among all other (doc, vec); ties to the smaller id.
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as T
 from lexspan.operators import index, retrieval
-from lexspan.operators.retrieval import Rule
-from lexspan.operators.search import BM25, DENSE, HYBRID, Ranking, nearest_in_blocks, search
+from lexspan.operators.search import BM25, DENSE, HYBRID, Ranking, Rule, factor_sql, nearest_in_blocks, search
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -63,7 +62,7 @@ pairs AS (SELECT i.item_id AS query, t.doc_id AS doc, coalesce(b.matched, 0) AS
 hyb AS (SELECT query, doc, matched, bm25, share, dense, round(0.15::DOUBLE * share + 0.85::DOUBLE * dense, 8) AS score FROM (SELECT *, CASE WHEN best > 0 THEN bm25 / best ELSE bm25 END AS share FROM pairs))"""
 HYBRID_CTE = BM25_CTE + _ALL_PAIRS
 EXPANDED_CTE = bm25_cte(EXPANDED_SQL) + _ALL_PAIRS
-FACTOR_SQL = retrieval.factor_sql(RULES)
+FACTOR_SQL = factor_sql(RULES)
 _BOOSTED = f""",
 asks AS (SELECT item_id AS query, lower(text) AS q, {EXPANDED_SQL} AS x FROM benchmark),
 boosted AS (SELECT query, doc, matched, bm25, share, dense, round(h.score * ({FACTOR_SQL}) + 1e-11::DOUBLE, 8) AS score, h.score AS plain FROM hyb h JOIN documents ON doc_id = doc JOIN asks USING (query))"""
@@ -248,7 +247,7 @@ def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits_at(plain.union(wide), gold(spark, sf_dir), "ranking").withColumnRenamed("ranking", "variant")
 
 
-_LEFT_OUT = " UNION ALL ".join([f"SELECT '{r.name}' AS rule, query, doc, round(h.score * ({retrieval.factor_sql(RULES, r.name)}) + 1e-11::DOUBLE, 8) AS s FROM hyb h JOIN documents ON doc_id = doc JOIN asks USING (query)" for r in RULES] + ["SELECT '' AS rule, query, doc, score AS s FROM boosted"])
+_LEFT_OUT = " UNION ALL ".join([f"SELECT '{r.name}' AS rule, query, doc, round(h.score * ({factor_sql([x for x in RULES if x is not r])}) + 1e-11::DOUBLE, 8) AS s FROM hyb h JOIN documents ON doc_id = doc JOIN asks USING (query)" for r in RULES] + ["SELECT '' AS rule, query, doc, score AS s FROM boosted"])
 
 
 @query(f"""WITH {BOOST_CTE}, {GOLD_CTE}, x AS ({_LEFT_OUT}),
