@@ -262,16 +262,18 @@ def train(docs: DataFrame, text_col: str = "text", core: int = CORE, suffixes: i
     spark = docs.sparkSession
     counts = materialise(_count_words(docs, text_col), "word_counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # The head: all words from the least count on at which they still fit the bound, told from a histogram of some hundred bins.
+    # The head: the most frequent words, equal counts by the word. A histogram of some hundred bins tells the bin in which the bound falls.
     bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.min("n").alias("least"), F.count("*").alias("words")).orderBy(F.desc("bin")).collect()
-    least, size = (total["n"] or 0) + 1, 0
+    least, size, cut = (total["n"] or 0) + 1, 0, []
     for b in bins:
-        size += b["words"]
-        if size > head:
+        if size + b["words"] > head:
+            cut = counts.where((F.col("n") >= b["least"]) & (F.col("n") < least)).orderBy(F.desc("n"), "word").limit(head - size).collect()
             break
-        least = b["least"]
-    rows = counts.where(F.col("n") >= least).toArrow()  # at most ``head`` rows
-    in_head = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+        size, least = size + b["words"], b["least"]
+    rows = counts.where(F.col("n") >= least).toArrow()  # at most ``head`` rows, with those that were cut
+    in_head = [*zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True), *((bytes(r["word"]), r["n"]) for r in cut)]
+    in_head.sort(key=lambda x: (-x[1], x[0]))
+    least = cut[-1]["n"] + 1 if cut else least
     words = [w for w, _ in in_head]
     outside = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in words[:core]], "word binary")), "word", "left_anti")  # at most ``core`` rows
     ends = outside.where(F.length("word") > 0).groupBy(F.substring("word", -3, 3).alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(suffixes).collect()

@@ -78,15 +78,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, id_col:
     rate = by_key({k: F.lit(r) for k, r in rates.items()}, F.lit(0.0))
     steps = by_key({k: F.array(*map(F.lit, poisson_steps(r / draws[k]))) for k, r in rates.items()}, F.array(F.lit(1.0)))
     n_draws = by_key({k: F.lit(n).cast("long") for k, n in draws.items()}, F.lit(1).cast("long"))
-    own_point, own_steps, own_draws, own_key = private(docs, "point", "steps", "draws", "key")
+    own_point, own_steps, own_draws, own_key, own_row = private(docs, "point", "steps", "draws", "key", "row")
     of_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))) if text_col in docs.columns else F.lit("")
     ident = F.coalesce(F.col(id_col).cast("string"), of_text)
-    counted = docs.withColumns({own_key: ident, "rate": rate, own_point: hashed_point(F.lit(seed), ident), own_steps: steps, own_draws: n_draws})
+    counted = docs.withColumns({own_key: ident, "rate": rate, own_point: hashed_point(F.lit(seed), ident), own_steps: steps, own_draws: n_draws, own_row: F.monotonically_increasing_id()})
     zero = F.lit(0).cast("long")
     passed = lambda point: F.aggregate(own_steps, F.struct(point.alias("u"), zero.alias("n")), lambda s, x: F.struct(s["u"].alias("u"), (s["n"] + (x <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
     summed = F.aggregate(F.sequence(F.lit(1).cast("long"), own_draws), zero, lambda n, j: n + passed(hashed_point(F.concat(F.lit(seed + "/"), j.cast("string")), F.col(own_key))))
     n_copies = F.when(F.col(own_draws) == 1, passed(F.col(own_point))).otherwise(summed)
     copies = counted.withColumn("n_copies", n_copies).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
     out = copies.withColumn("shuffle_key", F.md5(F.concat_ws("#", F.lit(seed), F.col(own_key), F.col("copy").cast("string")))).drop(own_point, own_steps, own_draws, own_key)
-    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in out.schema if "map<" not in f.dataType.simpleString()])
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", tie)
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in out.schema if "map<" not in f.dataType.simpleString() and f.name != own_row])
+    return out.repartition("shuffle_key", own_row).drop(own_row).sortWithinPartitions("shuffle_key", tie)  # equal rows, which share a key, go apart

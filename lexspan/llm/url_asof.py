@@ -50,7 +50,13 @@ def url_patterns(url: Column) -> Column:
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, category, listed_from, listed_to) of the spans during which a pattern was listed in a category; an open end is null."""
+    """(pattern, category, listed_from, listed_to) of the spans during which a pattern was listed in a category; an open end is null.
+
+    Patterns are compared without blanks around them and with their host in lower case, as hosts of captures are.
+    """
+    trimmed = F.trim("pattern")
+    host = F.substring_index(trimmed, "/", 1)
+    entries = entries.withColumn("pattern", F.concat(F.lower(host), F.substr(trimmed, F.length(host) + 1)))
     log = entries.where("pattern IS NOT NULL AND listed_on IS NOT NULL AND action IN ('add', 'remove')").select("pattern", "category", "listed_on", "action").distinct()
     by_date = Window.partitionBy("pattern", "category").orderBy("listed_on", "action")
     spans = log.withColumn("listed_to", F.lead("listed_on").over(by_date)).where("action = 'add' AND (listed_to IS NULL OR listed_to > listed_on)")

@@ -199,6 +199,9 @@ def test_entries_active_at_fetch_time(spark):
     out = url_asof.temporal_filter(c, e).orderBy("page_id").collect()
     assert [(r["level"], r["pattern"], r["category"], r["_hit"]) for r in out] == [("parent", "deep.org", "adult", 7), ("parent", "deep.org", "adult", 7), ("path", "a.deep.org/x/y", None, 7), ("parent", "deep.org", "adult", 7), *[(None, None, None, 7)] * 3]
     assert {r["blocked"] for r in url_asof.temporal_filter(c, e.limit(0)).collect()} == {False}
+    listed = spark.createDataFrame([(" Deep.ORG ", day(1, 1), "add", "s"), ("A.Deep.org/X/y", day(1, 1), "add", "t")], "pattern string, listed_on date, action string, category string")
+    asked = spark.createDataFrame([(1, "https://DEEP.org/A", day(2, 2)), (2, "http://a.deep.ORG/X/y", day(2, 2)), (3, "http://a.deep.org/x/y", day(2, 2))], "page_id long, url string, fetched_on date")
+    assert [r["pattern"] for r in url_asof.temporal_filter(asked, listed).orderBy("page_id").collect()] == ["deep.org", "a.deep.org/X/y", "deep.org"]
 
 
 # Quality rules
@@ -308,3 +311,18 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = brown_lm.train(empty)
     assert [(r["score"], r["base_score"], r["n_known"]) for r in brown_lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()] == [(0.0, 0.0, 0)]
+
+
+def test_the_head_is_cut_inside_equal_counts(spark):
+    words = [f"w{i:03d}" for i in range(400)]
+    docs = spark.createDataFrame([(" ".join(words),)] * 3 + [("w000 w001",)], "text string")
+    model = brown_lm.train(docs, head=100, core=50)
+    assert set(list(model.head)[:3]) == {brown_lm.END, b"w000", b"w001"} and set(model.head) == {brown_lm.END, *(w.encode() for w in words[:99])}
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """Rows that repeat a null id and an empty text share their keys, but no task takes them all."""
+    df = spark.createDataFrame([(None, "", "en", "src1")] * 4000, "doc_id long, text string, lang string, source string").repartition(8)
+    out = mixing.mix_sources(df)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert out.select("shuffle_key").distinct().count() < 10 and len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
