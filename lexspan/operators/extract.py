@@ -126,16 +126,47 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, lambda w: F.when(F.length(w) > 0, once(w)).otherwise(F.array(w))))))
 
 
+#: Letters from which on words meet by their parts: a word's forms with letters left out grow with the square of its length.
+LONG = 20
+
+
+def _parts(length: Column, k: int) -> tuple[Column, Column]:
+    """(start, length) of the k-th third of a word of that length, from 0."""
+    start = F.floor(length * k / 3).cast("int")
+    return start, F.floor(length * (k + 1) / 3).cast("int") - start
+
+
+def _own_parts(word: Column) -> Column:
+    """(length, third, letters) of a known word."""
+    n = F.length(word)
+    part = lambda k: F.struct(n.alias("n"), F.lit(k).alias("k"), F.substr(word, _parts(n, k)[0] + 1, _parts(n, k)[1]).alias("s"))
+    return F.array(*map(part, range(3)))
+
+
+def _sought_parts(word: Column) -> Column:
+    """The same of all words that two edits can make of a word: one of their thirds is whole, at most two places off."""
+    n = F.length(word)
+
+    def at(gap: int, k: int, shift: int) -> Column:
+        start, size = _parts(n + gap, k)
+        return F.when((start + shift >= 0) & (start + shift + size <= n), F.struct((n + gap).alias("n"), F.lit(k).alias("k"), F.substr(word, start + shift + 1, size).alias("s")))
+
+    return F.array_distinct(F.filter(F.array(*[at(gap, k, shift) for gap in range(-2, 3) for k in range(3) for shift in range(-2, 3)]), lambda x: x.isNotNull()))
+
+
 def suggest_spelling(asked: DataFrame, known: DataFrame, col: str) -> DataFrame:
     """(word, suggestion, distance) for asked words of 4 letters or more that are not known: distance 1, or 2 from 7 letters on; ties by the word.
 
     Words within two edits share a form with at most two letters left out, so candidates come from an
-    equi-join on those forms, and the exact distance decides.
+    equi-join on those forms; words of LONG letters or more share a third instead, which takes space in
+    proportion to them. The exact distance decides.
     """
     unknown = asked.join(known, col, "left_anti").where(F.length(col) >= 4).select(F.col(col).alias("word"))
-    left = unknown.withColumn("form", F.explode(_deletions(F.col("word"))))
-    right = known.select(F.col(col).alias("suggestion")).withColumn("form", F.explode(_deletions(F.col("suggestion"))))
-    pairs = left.join(right, "form").select("word", "suggestion").distinct().withColumn("distance", F.levenshtein("word", "suggestion"))
-    near = pairs.where(F.col("distance") <= F.when(F.length("word") >= 7, 2).otherwise(1))
+    right = known.select(F.col(col).alias("suggestion"))
+    short, long = unknown.where(F.length("word") < LONG), unknown.where(F.length("word") >= LONG)
+    by_form = short.withColumn("form", F.explode(_deletions(F.col("word")))).join(right.where(F.length("suggestion") < LONG + 2).withColumn("form", F.explode(_deletions(F.col("suggestion")))), "form")
+    by_part = long.withColumn("part", F.explode(_sought_parts(F.col("word")))).join(right.where(F.length("suggestion") > LONG - 3).withColumn("part", F.explode(_own_parts(F.col("suggestion")))), "part")
+    pairs = by_form.select("word", "suggestion").union(by_part.select("word", "suggestion")).distinct().withColumn("distance", F.levenshtein("word", "suggestion", 2))
+    near = pairs.where((F.col("distance") >= 0) & (F.col("distance") <= F.when(F.length("word") >= 7, 2).otherwise(1)))
     best = near.groupBy("word").agg(F.min(F.struct("distance", "suggestion")).alias("b"))
     return best.select("word", "b.suggestion", "b.distance")

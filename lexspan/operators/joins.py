@@ -45,8 +45,10 @@ def first_per_key_lookup(asked: DataFrame, records: DataFrame, keys: Sequence[st
 
 
 def prefix_join(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Texts with each prefix that they start with, up to a blank, and the ``rest`` after it. A text's own leading words are the join keys."""
-    words = F.split(text, " ")
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, 1, i), " "))
-    spread = texts.where(F.size(words) > 1).withColumn(prefix, F.explode(heads))
-    return spread.join(prefixes.select(prefix), prefix).withColumn("rest", F.expr(f"substring({text}, length({prefix}) + 2)"))
+    """Texts with each prefix that they start with, up to a blank, and the ``rest`` after it. A text's own leading words are the join keys, no more of them than the longest prefix has."""
+    longest = prefixes.agg(F.max(F.size(F.split(prefix, " ")))).first()[0] or 0
+    words = F.split(text, " ", longest + 2)
+    reach = F.least(F.size(words) - 1, F.lit(longest))
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(reach, F.lit(1))), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    spread = texts.where((F.size(words) > 1) & (F.lit(longest) > 0)).withColumn(prefix, F.explode(heads))
+    return spread.join(prefixes.select(prefix).distinct(), prefix).withColumn("rest", F.expr(f"substring({text}, length({prefix}) + 2)"))

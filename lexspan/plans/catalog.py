@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, extraction, joins, quality, relational, retrieval, streams, text_queries, windows  # noqa: F401
+from . import evaluation, extraction, joins, numbering, quality, relational, retrieval, streams, text_queries, windows  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

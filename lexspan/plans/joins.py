@@ -111,13 +111,15 @@ def gold_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_type FROM part), k AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS prefix FROM part)
-SELECT p_partkey, prefix, substr(p_type, length(prefix) + 2) AS rest FROM p JOIN k ON starts_with(p_type, prefix || ' ')""")
+WITH p AS (SELECT item_id, text FROM benchmark), k AS (SELECT DISTINCT split_part(text, ' ', 1) AS prefix FROM benchmark UNION SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') FROM benchmark WHERE item_id % 2 = 0)
+SELECT item_id, prefix, substr(text, length(prefix) + 2) AS rest FROM p JOIN k ON starts_with(text, prefix || ' ')""")
 def prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts joined to the prefixes they start with. Prefixes end at a word, so the join is on the text's own leading words: an equi-join, not all pairs."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    prefixes = part.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("prefix")).distinct()
-    return prefix_join(part, prefixes, "p_type", "prefix").select("p_partkey", "prefix", "rest")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    words = F.split("text", " ")
+    three = items.where("item_id % 2 = 0").select(F.array_join(F.slice(words, 1, 3), " ").alias("prefix"))
+    prefixes = items.select(F.get(words, F.lit(0)).alias("prefix")).union(three).distinct()
+    return prefix_join(items, prefixes, "text", "prefix").select("item_id", "prefix", "rest")
 
 
 @query("SELECT s_suppkey, t.template || ' ' || s_name AS line FROM supplier, (VALUES ('ask'), ('tell'), ('show')) t(template)")

@@ -100,9 +100,9 @@ def looks_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM (
-  SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
     regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<![^>]*>|</?[a-z][^>]*>', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM pages)""")
+    '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM pages)""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
@@ -122,7 +122,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM benchmark)),
-q AS (SELECT DISTINCT lower(w) AS q FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM conversations WHERE role = 'system')),
+q AS (SELECT DISTINCT lower(w) AS q FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM conversations)),
 d AS (SELECT q, w, levenshtein(q, w) AS dist FROM q, v WHERE q <> w AND abs(length(q) - length(w)) <= 2 AND q NOT IN (SELECT w FROM v))
 SELECT q AS word, arg_min(w, {'d': dist, 'w': w}) AS suggestion, min(dist)::INT AS distance FROM d WHERE dist <= CASE WHEN length(q) >= 7 THEN 2 ELSE 1 END GROUP BY 1""")
 def levenshtein_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def levenshtein_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = lambda df, rx: df.select(F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
     known = words(table(spark, sf_dir, "benchmark"), "[A-Za-z]{4,}")
-    asked = words(table(spark, sf_dir, "conversations").where("role = 'system'"), "[A-Za-z]{4,}")
+    asked = words(table(spark, sf_dir, "conversations"), "[A-Za-z]{4,}")
     return suggest_spelling(asked, known, "w")
 
 
@@ -173,7 +173,7 @@ _ERROR = "concat(CASE event_id % 4 WHEN 0 THEN 'Error 429: Rate limit reached' W
 
 
 @query(f"""
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(e, 'per day|daily|tpd|rpd') THEN 'daily_limit' WHEN regexp_matches(e, '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(e, 'timeout|timed out') THEN 'timeout' ELSE 'other' END AS kind
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(e, 'tokens per day|per day|day limit|daily limit|tpd|rpd') THEN 'daily_limit' WHEN regexp_matches(e, '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(e, 'timeout|timed out') THEN 'timeout' ELSE 'other' END AS kind
 FROM (SELECT lower({_ERROR}) AS e FROM events WHERE event_type = 'error')) GROUP BY 1""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
