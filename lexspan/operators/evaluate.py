@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.sources.scratch import materialise
+
 
 def ranking_metrics(first_hit: DataFrame, *groups: str) -> DataFrame:
     """Means over rows with ``rank`` (of the first hit, null without one): recall5, p1, p3, mrr, ndcg5."""
@@ -20,18 +22,19 @@ def ranking_metrics(first_hit: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """Natural logarithm of n over k, as a sum of logarithms."""
-    logs = lambda m: F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), lambda i: F.log(i.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return logs(n) - logs(k) - logs(n - k)
+def binomial_tail(n: Column, most: Column) -> Column:
+    """The chance of at most ``most`` heads in n tosses: each term's logarithm follows from the one before."""
+    step = lambda s, i: F.struct((s["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).alias("term"), (s["sum"] + F.exp(s["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double")))).alias("sum"))
+    none = -n.cast("double") * F.lit(0.6931471805599453)
+    places = F.when(most >= 1, F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.struct(none.alias("term"), F.exp(none).alias("sum")), step, lambda s: s["sum"])
 
 
 def mcnemar(counts: DataFrame) -> DataFrame:
     """For rows with b and c (discordant pairs): the exact two-sided p and chi-squared with continuity correction."""
     n, low = F.col("b") + F.col("c"), F.least("b", "c")
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0), low.cast("int")), lambda i: F.exp(log_choose(n, i) - n * F.lit(0.6931471805599453))), F.lit(0.0), lambda s, x: s + x)
     gap = F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0))
-    return counts.withColumns({"p_exact": F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), 6), "chi2": F.round(F.when(n == 0, 0.0).otherwise(gap * gap / n), 6)})
+    return counts.withColumns({"p_exact": F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(n, low))), 6), "chi2": F.round(F.when(n == 0, 0.0).otherwise(gap * gap / n), 6)})
 
 
 def holm(df: DataFrame, p: str, family: str, order: str) -> DataFrame:
@@ -42,15 +45,31 @@ def holm(df: DataFrame, p: str, family: str, order: str) -> DataFrame:
     return df.withColumn("__s", step).withColumn("p_holm", F.round(F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)).drop("__s")
 
 
-def average_precision(df: DataFrame, score: str, truth: str, *groups: str) -> DataFrame:
-    """Area under the precision-recall steps at distinct scores: sum of recall gained times precision there.
+def precision_recall(df: DataFrame, score: str, truth: str, parts: int | None = None) -> DataFrame:
+    """(threshold, pos, n, tp, seen, precision, recall) at each distinct score, highest first: the precision-recall curve.
 
-    Rows are first counted by distinct score, so what the running sums sort is that table, by group.
+    Rows are first counted by distinct score. Those are dealt out by ranges of the score and written, so
+    that the running sums have an order of parts: a part's own sums, after the totals of the parts above it.
     """
-    steps = df.groupBy(*groups, score).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w)})
-    return run.groupBy(*groups).agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 6).alias("ap"), F.sum("pos").alias("positives"))
+    spark = df.sparkSession
+    steps = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(steps.repartitionByRange(parts, F.desc("threshold")).withColumn("part", F.spark_partition_id()), "score_steps")
+    totals = {r["part"]: (r["pos"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect()}  # a row a part
+    offsets, tp, seen = [], 0, 0
+    for part in sorted(totals):
+        offsets.append((part, tp, seen))
+        tp, seen = tp + totals[part][0], seen + totals[part][1]
+    above = spark.createDataFrame(offsets, "part int, tp_above long, seen_above long")
+    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.join(F.broadcast(above), "part").withColumns({"tp": F.col("tp_above") + F.sum("pos").over(w), "seen": F.col("seen_above") + F.sum("n").over(w)})
+    return run.select("threshold", "pos", "n", "tp", "seen", (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.lit(max(1, tp))).alias("recall"))
+
+
+def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """Area under the precision-recall steps: sum of recall gained times precision there."""
+    curve = precision_recall(df, score, truth)
+    return curve.agg(F.round(F.sum(F.col("pos") * F.col("precision")) / F.sum("pos"), 6).alias("ap"), F.sum("pos").alias("positives"))
 
 
 def best_threshold(df: DataFrame, score: str, truth: str, grid: list[float]) -> DataFrame:

@@ -230,7 +230,7 @@ class Lexical:
         cell = np.repeat(self.start[term] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
         place = np.repeat(row, reach) * self.n + self.query[cell]
         score = np.bincount(place, np.repeat(weight, reach) * self.times[cell], len(rows) * self.n)
-        return np.round(score, DIGITS).reshape(-1, self.n), np.bincount(place, minlength=len(rows) * self.n).reshape(-1, self.n)
+        return np.round(score.astype(float), DIGITS).reshape(-1, self.n), np.bincount(place, minlength=len(rows) * self.n).reshape(-1, self.n)
 
 
 def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], factors: Callable[[np.ndarray], list[np.ndarray | None]], open_queries: np.ndarray, depth: int, doc: pa.DataType) -> Iterator[pa.RecordBatch]:

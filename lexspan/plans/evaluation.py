@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.operators import evaluate, features
+from lexspan.functions import text as T
+from lexspan.operators import bayes, evaluate, features
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -33,13 +34,13 @@ def category_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.ranking_metrics(first_hits(spark, sf_dir).withColumn("category", F.col("query") % 4), "category")
 
 
-@query(f"""WITH {_FIRST}, h AS (SELECT query, count(*) AS n_gold, count(*) FILTER (WHERE r.rank <= 5) AS hits FROM gold g LEFT JOIN ranked r USING (query, doc) GROUP BY 1)
-SELECT query, n_gold, hits, round(hits / 5.0::DOUBLE, 6) AS p5, round(least(hits, n_gold) / n_gold::DOUBLE, 6) AS r5 FROM h""")
+@query(f"""WITH {_FIRST}, h AS (SELECT query, count(*) AS n_gold, count(*) FILTER (WHERE r.rank <= 5) AS hits, min(r.rank) FILTER (WHERE r.rank <= 5) AS first FROM gold g LEFT JOIN ranked r USING (query, doc) GROUP BY 1)
+SELECT query, n_gold, hits, round(hits / 5.0::DOUBLE, 6) AS p5, round(least(hits, n_gold) / n_gold::DOUBLE, 6) AS r5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr FROM h""")
 def multi_gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at five where a query has several right documents."""
     top = bm25_ranks(spark, sf_dir, 5).select("query", "doc", "rank")
-    h = gold(spark, sf_dir).join(top, ["query", "doc"], "left").groupBy("query").agg(F.count("*").alias("n_gold"), F.count("rank").alias("hits"))
-    return h.select("query", "n_gold", "hits", F.round(F.col("hits") / 5.0, 6).alias("p5"), F.round(F.least("hits", "n_gold") / F.col("n_gold"), 6).alias("r5"))
+    h = gold(spark, sf_dir).join(top, ["query", "doc"], "left").groupBy("query").agg(F.count("*").alias("n_gold"), F.count("rank").alias("hits"), F.min("rank").alias("first"))
+    return h.select("query", "n_gold", "hits", F.round(F.col("hits") / 5.0, 6).alias("p5"), F.round(F.least("hits", "n_gold") / F.col("n_gold"), 6).alias("r5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
 
 
 @query(f"""WITH {_FIRST}, t AS (SELECT r.query, bool_or(g.doc IS NOT NULL) AS strict, bool_or(d.lang = q.lang) AS same_lang
@@ -56,15 +57,53 @@ def lenient_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.round(F.avg(F.col("s").cast("int")), 6).alias("strict"), F.round(F.avg((F.col("s") | F.col("l")).cast("int")), 6).alias("lenient"), F.count_if(~F.col("s") & F.col("l")).alias("near_misses"), F.count_if(~F.col("s") & ~F.col("l")).alias("misses"))
 
 
-_VALUE = "('0x' || substr(md5('{}|' || doc_id), 1, 8))::BIGINT % 1000 / 1000.0::DOUBLE"
-_SCORED = f"s AS (SELECT doc_id, source, quality, round(0.4::DOUBLE * quality + 0.6::DOUBLE * ({_VALUE.format('score')}), 6) AS score, round(0.3::DOUBLE * quality + 0.7::DOUBLE * ({_VALUE.format('other')}), 6) AS other FROM labels JOIN documents USING (doc_id))"
+#: Features of a labelled document, as SQL; the first two are what the lesser model sees.
+_FEATURES = {
+    "log_chars": "ln(1 + length(text))",
+    "mean_word": "greatest(length(text), 1) / cast({n} AS DOUBLE)",
+    "symbol_share": "{symbols} / cast(greatest(length(text), 1) AS DOUBLE)",
+    "digit_share": "{digits} / cast(greatest(length(text), 1) AS DOUBLE)",
+    "distinct_share": "{kinds} / cast({n} AS DOUBLE)",
+}
+_LESS = ("log_chars", "mean_word")
+FOLDS = 5
+
+
+def _feature_sql(spark: bool) -> str:
+    words = r"split(text, '[ \\t\\n\\r\\f]+', -1)" if spark else r"regexp_split_to_array(text, '[ \t\n\r\f]+')"
+    count = (lambda rx: f"regexp_count(text, '{rx}')") if spark else (lambda rx: f"len(regexp_extract_all(text, '{rx}'))")
+    known = {"n": f"size({words})" if spark else f"len({words})", "kinds": f"size(array_distinct({words}))" if spark else f"len(list_distinct({words}))", "symbols": count("[#*$%&|<>]"), "digits": count("[0-9]")}
+    return ", ".join(f"round({x.format(**known)}, 6) AS {name}" for name, x in _FEATURES.items())
+
+
+def _bayes_sql(name: str, columns: tuple[str, ...]) -> str:
+    """The out-of-fold probability ``name`` of the rows ``f`` from sums of all other folds."""
+    sides = {c: f"CASE WHEN quality = {c} THEN {{}} ELSE 0 END" for c in (0, 1)}
+    own = ", ".join([f"sum({sides[c].format(x)}) AS {k}{c}_{f}" for c in (0, 1) for f in columns for k, x in (("s", f), ("q", f"{f} * {f}"))] + [f"sum({sides[c].format(1)}) AS n{c}" for c in (0, 1)])
+    names = [f"{k}{c}_{f}" for c in (0, 1) for f in columns for k in ("s", "q")] + ["n0", "n1"]
+    rest = ", ".join(f"sum({x}) OVER () - {x} AS {x}" for x in names)
+
+    def term(c: int, f: str) -> str:
+        n, mean = f"greatest(n{c}::DOUBLE, 1)", f"(s{c}_{f} / greatest(n{c}::DOUBLE, 1))"
+        variance = f"greatest(q{c}_{f} / {n} - {mean} * {mean}, 1e-6::DOUBLE)"
+        return f"(-0.5::DOUBLE * ln({variance}) - ({f} - {mean}) * ({f} - {mean}) / (2 * {variance}))"
+
+    side = lambda c: " + ".join([f"ln(greatest(n{c}::DOUBLE, 1))", *(term(c, f) for f in columns)])
+    return f"""{name}_own AS (SELECT fold, {own} FROM f GROUP BY 1), {name}_rest AS (SELECT fold, {rest} FROM {name}_own),
+{name}_s AS (SELECT doc_id, round(1 / (1 + exp(-greatest(-50.0::DOUBLE, least(50.0::DOUBLE, ({side(1)}) - ({side(0)}))))), 6) AS {name} FROM f JOIN {name}_rest USING (fold))"""
+
+
+_SCORED = f"""f AS (SELECT doc_id, source, quality, ('0x' || substr(md5('fold|' || source), 1, 8))::BIGINT % {FOLDS} AS fold, {_feature_sql(False)} FROM labels JOIN documents USING (doc_id)),
+{_bayes_sql('score', tuple(_FEATURES))}, {_bayes_sql('other', _LESS)},
+s AS (SELECT doc_id, source, quality, fold, score, other FROM f JOIN score_s USING (doc_id) JOIN other_s USING (doc_id))"""
 
 
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with two deterministic scores that tell quality well (wrong in one of six) and less well (two of seven)."""
-    u = lambda salt: features.hash_bucket(salt, F.col("doc_id"), 1000) / 1000.0
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return d.select("doc_id", "source", "quality", F.round(0.4 * F.col("quality") + 0.6 * u("score"), 6).alias("score"), F.round(0.3 * F.col("quality") + 0.7 * u("other"), 6).alias("other"))
+    """Labelled documents with the probabilities of two models, over all features and over two, each trained on the other folds of sources."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", _feature_sql(True).split(", round", 1)[0], *["round" + x for x in _feature_sql(True).split(", round")[1:]])
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("fold", features.hash_bucket("fold", F.col("source"), FOLDS))
+    scored = bayes.out_of_fold(bayes.out_of_fold(rows, "quality", "fold", list(_FEATURES), "score"), "quality", "fold", list(_LESS), "other")
+    return scored.select("doc_id", "source", "quality", "fold", "score", "other")
 
 
 _CONF = """count(*) FILTER (WHERE quality = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE quality = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE quality = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE quality = 0 AND score < 0.5) AS tn"""
@@ -76,9 +115,32 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.confusion(scored_labels(spark, sf_dir), F.col("quality") == 1, F.col("score") >= 0.5)
 
 
-@query(f"WITH {_SCORED}, c AS (SELECT source, {_CONF} FROM s GROUP BY 1) SELECT *, {_RATES} FROM c")
+_F1 = "CASE WHEN 2 * {0}tp + {0}fp + {0}fn = 0 THEN 0 ELSE round(2 * {0}tp / (2 * {0}tp + {0}fp + {0}fn)::DOUBLE, 6) END"
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT source, {_CONF}, {_CONF.replace("score >=", "other >=").replace("score <", "other <").replace("AS ", "AS o_")} FROM s GROUP BY 1)
+SELECT source, tp, fp, fn, tn, {_F1.format('')} AS f1, {_F1.format('o_')} AS other_f1, round({_F1.format('')} - ({_F1.format('o_')}), 6) AS gain FROM c""")
 def per_group_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.confusion(scored_labels(spark, sf_dir), F.col("quality") == 1, F.col("score") >= 0.5, "source")
+    """F1 of both models in each source, and what the first gains over the second."""
+    rows, right = scored_labels(spark, sf_dir), F.col("quality") == 1
+    a = features.confusion(rows, right, F.col("score") >= 0.5, "source").select("source", "tp", "fp", "fn", "tn", "f1")
+    b = features.confusion(rows, right, F.col("other") >= 0.5, "source").select("source", F.col("f1").alias("other_f1"))
+    return a.join(b, "source").withColumn("gain", F.round(F.col("f1") - F.col("other_f1"), 6))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, source, score, CASE WHEN quality = 0 THEN 'false positive' ELSE 'false negative' END AS error, (other >= 0.5) = (quality = 1) AS other_right FROM s WHERE (score >= 0.5) <> (quality = 1)")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents that the model has wrong, and whether the lesser model has them right."""
+    rows = scored_labels(spark, sf_dir).where((F.col("score") >= 0.5) != (F.col("quality") == 1))
+    return rows.select("doc_id", "source", "score", F.when(F.col("quality") == 0, "false positive").otherwise("false negative").alias("error"), ((F.col("other") >= 0.5) == (F.col("quality") == 1)).alias("other_right"))
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT score, sum(quality) AS pos, count(*) AS n FROM s GROUP BY 1), r AS (SELECT score, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM t WINDOW w AS (ORDER BY score DESC))
+SELECT score AS threshold, tp::BIGINT AS tp, round(tp / seen::DOUBLE, 6) AS precision, round(tp / (SELECT sum(quality) FROM s)::DOUBLE, 6) AS recall FROM r""")
+def precision_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall at every distinct score."""
+    curve = evaluate.precision_recall(scored_labels(spark, sf_dir), "score", "quality")
+    return curve.select("threshold", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"""WITH {_SCORED}, t AS (SELECT score, sum(quality) AS pos, count(*) AS n FROM s GROUP BY 1), r AS (SELECT pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM t WINDOW w AS (ORDER BY score DESC))
@@ -94,11 +156,11 @@ def threshold_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_threshold(scored_labels(spark, sf_dir), "score", "quality", [round(0.10 + 0.01 * i, 2) for i in range(81)])
 
 
-@query(f"""WITH {_SCORED}, f AS (SELECT ('0x' || substr(md5('fold|' || source), 1, 8))::BIGINT % 5 AS fold, 2 * count(*) FILTER (WHERE quality = 1 AND score >= 0.5) / (count(*) FILTER (WHERE score >= 0.5) + sum(quality))::DOUBLE AS f1 FROM s GROUP BY 1)
-SELECT count(*) AS folds, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std FROM f""")
+@query(f"""WITH {_SCORED}, x AS (SELECT fold, 2 * count(*) FILTER (WHERE quality = 1 AND score >= 0.5) / (count(*) FILTER (WHERE score >= 0.5) + sum(quality))::DOUBLE AS f1 FROM s GROUP BY 1)
+SELECT count(*) AS folds, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std FROM x""")
 def fold_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 by fold, then its mean and population deviation."""
-    s = scored_labels(spark, sf_dir).withColumn("fold", features.hash_bucket("fold", F.col("source"), 5))
+    s = scored_labels(spark, sf_dir)
     per = s.groupBy("fold").agg((2 * F.count_if((F.col("quality") == 1) & (F.col("score") >= 0.5)) / (F.count_if(F.col("score") >= 0.5) + F.sum("quality"))).alias("f1"))
     return per.agg(F.count("*").alias("folds"), F.round(F.avg("f1"), 6).alias("mean"), F.round(F.stddev_pop("f1"), 6).alias("std"))
 
@@ -186,3 +248,41 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.operators.models import out_of_fold
 
     return out_of_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: What the first model of a stack sees of a candidate, and what the second does.
+_BASE = ("dense", "matched")
+_CANDIDATE = ("share", "dense", "bm25_log", "rank", "reciprocal_rank", "matched_ratio", "dense_minus_share", "gap_to_next")
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each query with features of the pair, whether they are right, and folds by query."""
+    top = best(spark, sf_dir, [BOOSTED], 10)
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.greatest(F.size(F.array_distinct(T.tokens(F.col("text")))), F.lit(1)).alias("n_terms"))
+    right = gold(spark, sf_dir).withColumn("relevant", F.lit(1))
+    rows = top.join(terms, "query").join(right, ["query", "doc"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+    following = F.lead("score").over(Window.partitionBy("query").orderBy("rank"))
+    rows = rows.withColumns({"bm25_log": F.log1p("bm25"), "reciprocal_rank": 1.0 / F.col("rank"), "matched_ratio": F.col("matched") / F.col("n_terms"), "dense_minus_share": F.col("dense") - F.col("share"), "gap_to_next": F.coalesce(F.col("score") - following, F.lit(0.0))})
+    return features.stable_folds(rows, "query", 5, 4)
+
+
+@query()
+def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with out-of-fold probabilities, without and with a first model's score and rank as features. Nested folds by query; the tests compare it with a model fitted for each fold."""
+    return bayes.stacked(candidate_rows(spark, sf_dir), ["query", "doc", "rank"], "query", "relevant", "outer_fold", "inner_fold", _BASE, _CANDIDATE)
+
+
+@query()
+def classifier_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of ten candidates by the stacked probability, ties in the old order, with whether each is right."""
+    rows = stacked_scores(spark, sf_dir).withColumnRenamed("rank", "old_rank")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("stacked"), "old_rank"))
+    return rows.withColumn("rank", place).where("rank <= 5").select("query", "doc", F.col("stacked").alias("probability"), "old_rank", "rank", "relevant")
+
+
+@query()
+def voting_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean out-of-fold probability of a forest and a logistic model, folds by source."""
+    from lexspan.operators.models import soft_vote
+
+    return soft_vote(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,45 @@ def read_by_year(spark: SparkSession, folder: str, first: int, last: int) -> Dat
     return spark.read.option("mergeSchema", True).parquet(folder).where(F.col("year").between(first, last))
 
 
+#: Number types by width; a column that two files have in different ones takes the wider.
+_WIDTHS = ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double")
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds both: equal types stay, whole numbers widen, a mix with fractions is double, dates are timestamps, everything else text."""
+    x, y = a.simpleString().split("(")[0], b.simpleString().split("(")[0]
+    if a == b:
+        return a
+    if x in _WIDTHS and y in _WIDTHS:
+        wide = max(x, y, key=_WIDTHS.index)
+        return T.DoubleType() if wide in ("decimal", "float", "double") else (a if wide == x else b)
+    return T.TimestampType() if {x, y} == {"date", "timestamp"} else T.StringType()
+
+
+def read_drifting(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Parquet files whose columns changed over the years, as one table.
+
+    Columns go by name, in the order in which they first come; one that a file lacks is null there, and one
+    that files have in different types takes a type that holds all. Only footers are read to tell; files
+    of one schema are one scan.
+    """
+    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
+    wide: dict[str, T.DataType] = {}
+    for schema, _ in by_schema.values():
+        for f in schema:
+            wide[f.name] = _wider(wide[f.name], f.dataType) if f.name in wide else f.dataType
+
+    def read(schema: T.StructType, own: list[str]) -> DataFrame:
+        df = spark.read.schema(schema).parquet(*own)
+        has = set(schema.fieldNames())
+        return df.select(*[(F.col(f"`{c}`") if c in has else F.lit(None)).cast(kind).alias(c) for c, kind in wide.items()])
+
+    return reduce(DataFrame.union, [read(schema, own) for schema, own in by_schema.values()])
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 

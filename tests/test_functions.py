@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as T
 from lexspan.operators import evaluate, features
 from lexspan.operators.extract import extract_references, split_sections, suggest_spelling
-from lexspan.operators.index import bm25_scores
+from lexspan.operators.search import BM25, search
 from lexspan.streaming import limits, windows
 
 
@@ -111,9 +111,9 @@ def test_average_precision_and_empty_confusion(spark):
 
 
 def test_bm25_negative_idf_floor(spark):
-    docs = spark.createDataFrame([(1, "apple pear"), (2, "apple plum"), (3, "apple fig fig")], "d long, t string")
-    asked = spark.createDataFrame([(1, "apple fig fig")], "q long, t string")
-    scores = {r["doc"]: r["score"] for r in bm25_scores(docs, asked, "d", "t", "q", "t").collect()}
+    docs = spark.createDataFrame([(1, "apple pear"), (2, "apple plum"), (3, "apple fig fig")], "doc long, text string")
+    asked = spark.createDataFrame([(1, "apple fig fig")], "query long, text string")
+    scores = {r["doc"]: r["score"] for r in search(docs, asked, [BM25], 5, matching_only=True).collect()}
     assert scores[3] > scores[1] == scores[2] != 0
 
 

@@ -48,3 +48,32 @@ def test_years_are_pruned(spark, tmp_path):
     df = files.read_by_year(spark, str(tmp_path / "o"), 1994, 1995)
     assert df.count() == orders.where("year(o_orderdate) BETWEEN 1994 AND 1995").count() > 0
     assert "PartitionFilters: [isnotnull(year" in df._jdf.queryExecution().toString()
+
+
+def test_years_with_drifting_columns(spark, tmp_path):
+    spark.range(2).selectExpr("cast(id as int) AS n", "'a' AS name", "1.5F AS x", "date'2020-01-01' AS d").write.parquet(f"{tmp_path}/2020")
+    spark.range(2).selectExpr("id AS n", "'b' AS name", "2.5D AS x", "timestamp'2021-01-01 00:00:00' AS d", "true AS late").write.parquet(f"{tmp_path}/2021")
+    spark.range(1).selectExpr("'z9' AS n", "3 AS x", "false AS late").write.parquet(f"{tmp_path}/2022")
+    df = files.read_drifting(spark, [f"{tmp_path}/{y}" for y in (2020, 2021, 2022, 2020)])
+    assert dict(df.dtypes) == {"n": "string", "name": "string", "x": "double", "d": "timestamp", "late": "boolean"}
+    rows = sorted(((r["n"], r["name"], r["x"], r["late"]) for r in df.collect()), key=str)
+    assert rows == sorted([("0", "a", 1.5, None), ("1", "a", 1.5, None)] * 2 + [("0", "b", 2.5, True), ("1", "b", 2.5, True), ("z9", None, 3.0, False)], key=str)
+
+
+def test_a_repeated_flush_adds_nothing(spark, tmp_path):
+    """The last batch's commit is lost, as in a crash between write and commit: the batch comes again, its rows do not."""
+    import os
+
+    from lexspan.streaming.sinks import flush_each
+
+    spark.range(0, 10).write.mode("append").json(f"{tmp_path}/in")
+    run = lambda: flush_each(spark.readStream.schema("id long").json(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination(120)
+    run()
+    spark.range(10, 20).write.mode("append").json(f"{tmp_path}/in")
+    run()
+    commits = sorted(f for f in os.listdir(f"{tmp_path}/cp/commits") if f.isdigit())
+    for f in (commits[-1], f".{commits[-1]}.crc"):
+        os.remove(f"{tmp_path}/cp/commits/{f}")
+    run()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r["id"] for r in out.collect()) == list(range(20)) and out.select("batch").distinct().count() == len(commits)
