@@ -233,15 +233,15 @@ class Lexical:
         return np.round(score.astype(float), DIGITS).reshape(-1, self.n), np.bincount(place, minlength=len(rows) * self.n).reshape(-1, self.n)
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], factors: Callable[[np.ndarray], list[np.ndarray | None]], open_queries: np.ndarray, depth: int, doc: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The ``depth`` best rows of each query and variant (a factor of each document and query, or none) in a task."""
+def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], factors: Callable[[np.ndarray], list[np.ndarray | None]], open_queries: np.ndarray, depth: int, doc: pa.DataType, matching: bool) -> Iterator[pa.RecordBatch]:
+    """The ``depth`` best rows of each query and variant (a factor of each document and query, or none) in a task: those above 0 or, if ``matching``, all that share a term."""
     n, best = len(open_queries), None
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             rows = batch.slice(i, ROWS)
             plain, matched = score(rows)
             ids = np.asarray(rows.column("doc").to_numpy(zero_copy_only=False))
-            row, query = np.nonzero((plain > 0) & open_queries[None])
+            row, query = np.nonzero(((matched if matching else plain) > 0) & open_queries[None])
             ruled = factors(rows.column("holds").to_numpy(zero_copy_only=False))
             best = best or Best(n * len(ruled), depth)
             for v, factor in enumerate(ruled):
@@ -261,7 +261,9 @@ def search(docs: DataFrame, queries: DataFrame, rankings: Sequence[Ranking], k:
 
     Defined results: null and empty texts have no terms; a document or query without a vector, or with one of
     another length, has dense 0; negative products are 0; null ids take no part; ids do not repeat; an
-    empty table gives an empty table.
+    empty table gives an empty table. In a corpus so uniform that the mean idf, and with it the floor of
+    idf, is negative, scores can be too: such documents stand below those that share no term, of which
+    only the k smallest are looked at.
     """
     conditions = Conditions(rankings)
     docs = docs.where("doc IS NOT NULL").select("doc", "text", conditions.bits(conditions.holds).alias("holds"))
@@ -321,7 +323,7 @@ def _search_block(docs: DataFrame, block: Block, conditions: Conditions, ranking
     row_kind = f"__v long, __q long, doc {doc_kind}, score double, matched long"
 
     def stream(source: DataFrame, score: Callable, open_queries: np.ndarray, depth: int) -> DataFrame:
-        found = source.mapInArrow(lambda batches: _best_rows(batches, score, factors, open_queries, depth, doc_arrow), row_kind)
+        found = source.mapInArrow(lambda batches: _best_rows(batches, score, factors, open_queries, depth, doc_arrow, matching_only), row_kind)
         by = Window.partitionBy("__v", "__q").orderBy(F.desc("score"), "doc")
         return found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= depth).drop("at")
 

@@ -70,17 +70,17 @@ def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.law_references(told, "p_partkey", "text", mapping(spark, sf_dir))
 
 
-_LAW = """concat('ARRANGEMENT', chr(10), 'THE ACT', chr(10), '1. Short title', chr(10), '2. Wrong place', chr(10), 'THE ACT', chr(10), 'Preface.', chr(10), '1. ', p_name, ' — in force.', chr(10), '17', chr(10), 'More of it, see rule 5.', chr(10),
- '2. 4 ', p_type, ' is meant. IndiaCode here.', chr(10), '99. Out of range.', chr(10), '3. [Omitted] ', p_brand, chr(10), '2. Again, but late.', chr(10), '4. Last ', p_size)"""
+_LAW = """concat('ARRANGEMENT', chr(10), 'THE ACT', chr(10), '1. Short title', chr(10), '2. Wrong place', chr(10), 'THE ACT', chr(10), 'Preface.', chr(10), '1. The ', p_name, ' — in force.', chr(10), '17', chr(10), 'More of it, see rule 5.', chr(10),
+ '2. 4 The ', p_type, ' is meant. IndiaCode here.', chr(10), '99. Out of range.', chr(10), '3. [Omitted] ', p_brand, chr(10), '2. Again, but late.', chr(10), '4. Last ', p_size)"""
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE regexp_matches(p_name, '^[A-Z\\[]') AND regexp_matches(p_type, '^[A-Z\\[]')),
-s AS (SELECT p_partkey, 1 AS n, concat(p_name, ' — in force. More of it, see rule 5.') AS body FROM p UNION ALL SELECT p_partkey, 2, concat(p_type, ' is meant. here.') FROM p
+@query("""WITH p AS (SELECT * FROM part),
+s AS (SELECT p_partkey, 1 AS n, concat('The ', p_name, ' — in force. More of it, see rule 5.') AS body FROM p UNION ALL SELECT p_partkey, 2, concat('The ', p_type, ' is meant. here.') FROM p
   UNION ALL SELECT p_partkey, 3, concat('[Omitted] ', p_brand) FROM p UNION ALL SELECT p_partkey, 4, concat('Last ', p_size) FROM p)
 SELECT p_partkey, n::INT AS section_number, n::INT AS ordinal, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS body FROM s""")
 def law_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laws with a table of contents, a page mark, a footnote mark, a number out of range and a repeated one, cut into their sections."""
-    laws = table(spark, sf_dir, "part").where(F.rlike("p_name", F.lit(r"^[A-Z\[]")) & F.rlike("p_type", F.lit(r"^[A-Z\[]"))).select("p_partkey", F.expr(_LAW).alias("text"))
+    laws = table(spark, sf_dir, "part").select("p_partkey", F.expr(_LAW).alias("text"))
     return numbering.split_in_range(laws, "text", "THE ACT", 1, 31, noise=("IndiaCode",))
 
 
