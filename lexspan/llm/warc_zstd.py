@@ -8,8 +8,11 @@ The dictionary is fitted on a bounded sample of records: those of the ``DICT_REC
 of at most ``DICT_RECORD_BYTES`` bytes that come first in hash order; all other work covers all rows. A task
 holds one record at a time, buffers one archive of at most about ``ARCHIVE_BYTES``, writes it
 under a name of its own attempt and reports it; archives of lost attempts are in no report and are
-not read. Only slim rows (digest, id) are grouped. Repeated digests go to all tasks if they are few, and
-are joined by a shuffle otherwise.
+not read. Only slim rows (digest, id) are grouped. The ``BROADCAST_DIGESTS`` most repeated digests go to all
+tasks, so a digest left over repeats in at most one row of that many. Rows that may have one of the others, told by a
+sieve of bits, are joined by a shuffle with their payloads; all other payloads stay where they are read. The sieve
+has 16 bits a digest up to ``SIEVE_BITS``; with many more digests than a sixteenth of that it lets through rows that repeat nothing, which
+costs a shuffle of them and changes no row.
 
 Defined results: a null payload is empty; of equal payloads the smallest id is the response, rows
 that repeat that id are responses too, and a null id is the response only if no row has an id; a
@@ -29,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise
@@ -38,8 +41,10 @@ from .common import fresh_path, materialise
 SKIPPABLE_MAGIC, DICT_MAGIC = 0x184D2A5D, 0xEC30A437
 DICT_RECORDS, DICT_RECORD_BYTES, DICT_BYTES = 256, 32 << 10, 64 << 10
 ARCHIVE_BYTES = 8 << 20
-#: Repeated digests up to this number (some 100 bytes each) are broadcast; beyond it the join is shuffled.
+#: So many of the repeated digests (some 100 bytes each) are broadcast, the most repeated first; the others are joined by a shuffle.
 BROADCAST_DIGESTS = 50_000
+#: Most bits of the sieve of the other digests, which is broadcast as at most one row for 64 of them.
+SIEVE_BITS = 1 << 25
 MIN_REVISIT = 100
 #: Hadoop's names of stores that Arrow calls otherwise.
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasbs": "abfss"}
@@ -120,18 +125,31 @@ def split_frames(content: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def _bit(bits: int) -> Column:
+    """The digest's place in a sieve of ``bits`` bits."""
+    return F.pmod(F.xxhash64("payload_digest"), F.lit(bits))
+
+
+def digest_sieve(digests: DataFrame, bits: int) -> DataFrame:
+    """(at, word): words of 64 bits, of which those at the places of the digests are set; words without any are left out."""
+    place = F.expr(f"shiftleft(1L, int(pmod(xxhash64(payload_digest), {bits}L) % 64))")
+    return digests.groupBy(F.floor(_bit(bits) / 64).alias("at")).agg(F.bit_or(place).alias("word"))
+
+
 def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of every row."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     slim = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c"))
-    repeated = materialise(slim.where("c > 1").drop("c"), "repeated_digests")
+    repeated = materialise(slim.where("c > 1"), "repeated_digests")
+    hot = materialise(repeated.orderBy(F.desc("c"), "payload_digest").limit(BROADCAST_DIGESTS).select("payload_digest", "first_id", F.lit(True).alias("hot")), "hot_digests")
+    cold = materialise(repeated.drop("c").join(F.broadcast(hot), "payload_digest", "left_anti"), "cold_digests")
+    bits = min(SIEVE_BITS, max(64, 1 << (16 * cold.count()).bit_length()))
+    met = rows.join(F.broadcast(hot), "payload_digest", "left").withColumn("at", F.floor(_bit(bits) / 64)).join(F.broadcast(digest_sieve(cold, bits)), "at", "left")
+    let_through = F.coalesce(F.getbit("word", (_bit(bits) % 64).cast("int")) == 1, F.lit(False))
+    asks = let_through & F.col("hot").isNull() & (F.col("payload_bytes") >= min_revisit)  # copies of a hot or a short payload never meet in a task
+    joined = met.where(asks).drop("first_id").join(cold, "payload_digest", "left").unionByName(met.where(~asks)).drop("hot", "at", "word")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    if repeated.count() <= BROADCAST_DIGESTS:
-        joined = rows.join(F.broadcast(repeated), "payload_digest", "left")
-    else:  # payloads too short for revisits take no part: empty pages do not meet in one task
-        alone = rows.where(F.col("payload_bytes") < min_revisit).withColumn("first_id", F.lit(None).cast(repeated.schema["first_id"].dataType))
-        joined = rows.where(F.col("payload_bytes") >= min_revisit).join(repeated, "payload_digest", "left").unionByName(alone)
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}).drop("first_id")
 
 

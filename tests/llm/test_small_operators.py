@@ -111,14 +111,17 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc_zstd.read_warc(spark, *empty).collect() == []
 
 
-@pytest.mark.parametrize("most", [0, 50_000])
-def test_both_joins_mark_the_same_revisits(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "bits"), [(0, 1 << 25), (0, 64), (2, 1 << 25), (2, 64), (50_000, 64)])
+def test_hot_and_other_digests_mark_the_same_revisits(spark, monkeypatch, most, bits):
     monkeypatch.setattr(warc_zstd, "BROADCAST_DIGESTS", most)
+    monkeypatch.setattr(warc_zstd, "SIEVE_BITS", bits)
     long, short = "<p>" + "gleich " * 40, "kurz"
     rows = [(i, "u", long if i % 3 else f"{long}{i}") for i in range(30)] + [(40 + i, None, short if i % 2 else None) for i in range(20)] + [(90, "w", "x" * 400_000)]
+    rows += [(100 + i, "v", f"{long}, {i % 10}") for i in range(25)] + [(None, "n", f"{long} ohne"), (None, "n", f"{long} ohne")]
     got = warc_zstd.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert len(got) == len(rows)
-    assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(i, 1) for i in range(2, 30) if i % 3}
+    assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(i, 1) for i in range(2, 30) if i % 3} | {(100 + i, 100 + i % 10) for i in range(10, 25)}
+    assert all(hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"] for r in got)
     folder, report = warc_zstd.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
     back = warc_zstd.read_warc(spark, folder, report).collect()
     assert len(back) == len(rows) and all(r["intact"] for r in back) and {len(r["payload"]) for r in back if r["page_id"] == 90} == {400_000}
