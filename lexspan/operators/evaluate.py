@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,41 @@ def holm(df: DataFrame, p: str, family: str, order: str) -> DataFrame:
     return df.withColumn("__s", step).withColumn("p_holm", F.round(F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)).drop("__s")
 
 
+def poisson_cuts(scale: int = 1 << 32) -> list[int]:
+    """A uniform number below ``scale`` that is not less than k of the cuts stands for k draws of a Poisson distribution with mean 1."""
+    cuts, term, total, k = [], math.exp(-1), math.exp(-1), 0
+    while int(total * scale) < scale - 1 and k < 12:
+        cuts.append(int(total * scale))
+        k += 1
+        term /= k
+        total += term
+    return cuts
+
+
+def paired_bootstrap(df: DataFrame, group: str, key: str, gap: str, salt: str, rounds: int = 5000, unit: int = 1_000_000) -> DataFrame:
+    """(group, lo, hi, p_one_sided): percentile interval of the mean of ``gap`` (whole numbers, ``unit`` to 1) and the share of rounds in which it is not above 0.
+
+    Whatever values the differences take: in each round a row weighs as often as a Poisson draw of mean 1 from a
+    hash of its key says, which is the bootstrap of large samples. No draw is joined with a row, a task sums
+    its rows of a round before the shuffle, and whole sums make the result the same in any order. Four rounds share
+    a hash. Rounds in which no row of a group weighs are left out; null gaps take no part.
+    """
+    rows = df.where(F.col(gap).isNotNull()).select(F.col(group), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__k"), F.col(gap).cast("long").alias("__g"))
+    blocks = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit((rounds + 3) // 4 - 1))))
+    digest = blocks.withColumn("__d", F.md5(F.concat_ws("|", F.lit(salt), F.col("__k"), F.col("__r").cast("string"))))
+
+    def weight(i: int) -> Column:
+        u = F.conv(F.substring("__d", 1 + 8 * i, 8), 16, 10).cast("long")
+        return reduce(lambda a, b: a + b, [(u >= F.lit(c)).cast("int") for c in poisson_cuts()])
+
+    drawn = digest.withColumns({f"__w{i}": weight(i) for i in range(4)})
+    sums = drawn.groupBy(group, "__r").agg(*[F.sum(f"__w{i}").alias(f"w{i}") for i in range(4)], *[F.sum(F.col(f"__w{i}") * F.col("__g")).alias(f"g{i}") for i in range(4)])
+    four = F.explode(F.array(*[F.struct((F.col("__r") * 4 + i).alias("r"), F.col(f"w{i}").alias("w"), F.col(f"g{i}").alias("g")) for i in range(4)]))
+    means = sums.select(group, four.alias("m")).where((F.col("m.r") < rounds) & (F.col("m.w") > 0)).select(group, (F.col("m.g") / F.col("m.w") / unit).alias("mean"))
+    q = lambda p: F.round(F.percentile("mean", F.lit(p)), 6)
+    return means.groupBy(group).agg(q(0.025).alias("lo"), q(0.975).alias("hi"), F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("p_one_sided"))
+
+
 def precision_recall(df: DataFrame, score: str, truth: str, parts: int | None = None) -> DataFrame:
     """(threshold, pos, n, tp, seen, precision, recall) at each distinct score, highest first: the precision-recall curve.
 

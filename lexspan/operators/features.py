@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,27 @@ def stable_folds(df: DataFrame, group: str, outer: int, inner: int) -> DataFrame
     return df.withColumns({"outer_fold": hash_bucket("fold", F.col(group), outer), "inner_fold": hash_bucket("inner", F.col(group), inner)})
 
 
+def stratified(df: DataFrame, label: str, key: str, percent: int, salt: str, buckets: int = 1 << 14) -> DataFrame:
+    """``df`` with part: of each class exactly ``percent`` of the rows, rounded up, are test, those first by the key's hash, then the key.
+
+    Rows are counted by class and range of hashes. Only the one range of a class in which the cut falls is
+    ranked; all other rows are told by their range alone, so no class is sorted in one task. A null label is a
+    class; rows with a null key share the hash of an empty text and come first among equal hashes.
+    """
+    h = hash_bucket(salt, F.coalesce(F.col(key).cast("string"), F.lit("")), 1 << 32)
+    rows = df.withColumn("__h", h).withColumn("__b", F.floor(F.col("__h") / ((1 << 32) // buckets)))
+    counts = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__at")).agg(F.count("*").alias("__n"))
+    upto, every = Window.partitionBy("__l").orderBy("__at"), Window.partitionBy("__l")
+    sums = counts.withColumns({"__sum": F.sum("__n").over(upto), "__want": F.ceil(F.sum("__n").over(every) * percent / 100)})
+    cut = sums.where((F.col("__sum") >= F.col("__want")) & (F.col("__sum") - F.col("__n") < F.col("__want"))).select("__l", "__at", (F.col("__want") - F.col("__sum") + F.col("__n")).alias("__left"))
+    met = rows.join(cut, F.col(label).eqNullSafe(F.col("__l")), "left")
+    at = F.coalesce("__at", F.lit(-1))  # without a cut no row of the class is wanted
+    sure = met.where(F.col("__b") != at).withColumn("part", F.when(F.col("__b") < at, "test").otherwise("train"))
+    place = F.row_number().over(Window.partitionBy("__l", "__b").orderBy("__h", key))
+    edge = met.where(F.col("__b") == at).withColumn("part", F.when(place <= F.col("__left"), "test").otherwise("train"))
+    return sure.unionByName(edge).drop("__h", "__b", "__l", "__at", "__left")
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where den is 0."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)

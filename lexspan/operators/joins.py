@@ -14,12 +14,28 @@ def lookup_in_order(asked: DataFrame, records: DataFrame, asked_key: str, record
     return asked.withColumn("__k", norm(asked_key)).join(records.withColumn("__k", norm(record_key)), "__k").drop("__k").orderBy(ordinal)
 
 
-def fallback_join(asked: DataFrame, known: DataFrame, asked_key: str, known_key: str) -> DataFrame:
-    """Inner join on the exact key, else on the key without case."""
+def _both_keys(asked: DataFrame, known: DataFrame, asked_key: str, known_key: str) -> DataFrame:
+    """``asked`` with __exact and __loose: the known key that equals, and the least that equals but for case."""
     exact = known.select(F.col(known_key).alias("__exact"))
     loose = known.groupBy(F.lower(known_key).alias("__low")).agg(F.min(known_key).alias("__loose"))
-    both = asked.join(exact, F.col(asked_key) == F.col("__exact"), "left").join(loose, F.lower(asked_key) == F.col("__low"), "left")
-    return both.withColumn(known_key, F.coalesce("__exact", "__loose")).where(F.col(known_key).isNotNull()).drop("__exact", "__loose", "__low")
+    return asked.join(exact, F.col(asked_key) == F.col("__exact"), "left").join(loose, F.lower(asked_key) == F.col("__low"), "left").drop("__low")
+
+
+def fallback_join(asked: DataFrame, known: DataFrame, asked_key: str, known_key: str) -> DataFrame:
+    """Inner join on the exact key, else on the key without case."""
+    both = _both_keys(asked, known, asked_key, known_key)
+    return both.withColumn(known_key, F.coalesce("__exact", "__loose")).where(F.col(known_key).isNotNull()).drop("__exact", "__loose")
+
+
+def fallback_outcomes(asked: DataFrame, known: DataFrame, asked_key: str, known_key: str) -> DataFrame:
+    """(outcome, keys, n): the rows that ``fallback_join`` finds exactly, without case or not at all, and their distinct keys.
+
+    Rows of a key are counted before the joins, so a key that many rows ask for is one row there.
+    """
+    keys = asked.groupBy(asked_key).agg(F.count("*").alias("n"))
+    outcome = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__loose").isNotNull(), "without case").otherwise("missed")
+    one = known.select(known_key).distinct()
+    return _both_keys(keys, one, asked_key, known_key).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("keys"), F.sum("n").alias("n"))
 
 
 def contains_either_way_top(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, group: str, order: str, k: int, right_stem: int | None = None) -> DataFrame:

@@ -216,6 +216,21 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("source").agg(q(0.025).alias("lo"), q(0.975).alias("hi"), F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("p_one_sided"))
 
 
+_DRAWS = " + ".join(f"(u >= {c})::INT" for c in evaluate.poisson_cuts())
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT source, doc_id, round((abs(other - quality) - abs(score - quality)) * 1000000)::BIGINT AS gap FROM s),
+u AS (SELECT source, r, gap, ('0x' || substr(md5('poisson|' || doc_id || '|' || r // 4), (1 + 8 * (r % 4))::INT, 8))::BIGINT AS u FROM g, range(0, {_ROUNDS}) a(r)),
+m AS (SELECT source, r, sum(({_DRAWS}) * gap)::DOUBLE / nullif(sum({_DRAWS}), 0)::DOUBLE / 1000000 AS mean FROM u GROUP BY 1, 2)
+SELECT source, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(avg((mean <= 0)::INT), 6) AS p_one_sided FROM m WHERE mean IS NOT NULL GROUP BY 1""")
+def bootstrap_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired bootstrap of how much nearer the truth one model's probabilities are than the other's, in each source."""
+    s = scored_labels(spark, sf_dir)
+    gap = F.round((F.abs(F.col("other") - F.col("quality")) - F.abs(F.col("score") - F.col("quality"))) * 1_000_000).cast("long")
+    spread = s.select("source", "doc_id", gap.alias("gap")).repartition(spark.sparkContext.defaultParallelism, "doc_id")  # few rows, of many rounds each
+    return evaluate.paired_bootstrap(spread, "source", "doc_id", "gap", "poisson", _ROUNDS)
+
+
 _DEPTHS, _WEIGHTS = (5, 10, 15, 20), (0.2, 0.4, 0.5, 0.6, 0.8)
 
 

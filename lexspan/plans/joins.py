@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.operators.joins import contains_either_way_top, fallback_join, first_per_key_lookup, lookup_in_order, positional_mismatches, prefix_join
+from lexspan.operators.joins import contains_either_way_top, fallback_join, fallback_outcomes, first_per_key_lookup, lookup_in_order, positional_mismatches, prefix_join
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -46,6 +46,19 @@ def fallback_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fallback_join(asked, known, "want", "brand").select("p_partkey", "brand")
 
 
+@query("""
+WITH k AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN p_brand || '?' WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS want FROM part),
+b AS (SELECT DISTINCT p_brand FROM part)
+SELECT CASE WHEN e.p_brand IS NOT NULL THEN 'exact' WHEN i.p_brand IS NOT NULL THEN 'without case' ELSE 'missed' END AS outcome, count(DISTINCT want) AS keys, count(*) AS n
+FROM k LEFT JOIN b e ON e.p_brand = want LEFT JOIN b i ON lower(i.p_brand) = lower(want) GROUP BY 1""")
+def fallback_key_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys, and rows, the exact key finds, the key without case finds, and none finds."""
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    want = F.when(k % 7 == 0, F.concat("p_brand", F.lit("?"))).when(k % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    return fallback_outcomes(part.select(want.alias("want")), part.select(F.col("p_brand").alias("brand")), "want", "brand")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.operators.features import hash_bucket, stable_folds
+from lexspan.operators.features import hash_bucket, stable_folds, stratified
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -86,6 +86,14 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("quality", part.alias("part")).agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5('strata|' || doc_id), 1, 8))::BIGINT, doc_id) AS place, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT doc_id, quality, CASE WHEN place <= ceil(n * 25 / 100.0::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM r""")
+def stratified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly a quarter of each class, rounded up, for the test."""
+    return stratified(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", 25, "strata")
+
+
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS recent FROM events")
 def trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the user in the six hours up to each one."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from lexspan.operators import evaluate, features
 from lexspan.plans import catalog, retrieval
 from tests.oracle import differences
 
@@ -56,3 +57,25 @@ def test_gold_is_containment_whatever_surrounds_the_item(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, retrieval.gold(spark, str(tmp_path)).collect()))
     assert got == sorted((q, d) for q, i in items for d, t in enumerate(texts) if i is not None and t is not None and i in t)
+
+
+def test_strata_are_cut_exactly_whatever_the_ranges(spark):
+    rows = [(i, None if i % 5 == 0 else i % 3 == 0) for i in range(400)] + [(7, True)] * 9 + [(None, False)]
+    df = spark.createDataFrame(rows, "k long, label boolean").repartition(3)
+    for buckets in (1, 4, 1 << 14):
+        got = [tuple(r) for r in features.stratified(df, "label", "k", 25, "x", buckets).collect()]
+        assert sorted(map(str, [r[:2] for r in got])) == sorted(map(str, rows))
+        for c in (None, True, False):
+            n = sum(r[1] is c for r in rows)
+            assert sum(p == "test" for _, x, p in got if x is c) == -(-n // 4), (buckets, c)
+    assert features.stratified(df.limit(0), "label", "k", 25, "x").count() == 0
+
+
+def test_bootstrap_holds_the_mean_of_any_differences(spark):
+    gaps = [(g, i, (i * 37 % 101 - 40) * 10_000 if g else None if i == 3 else 500_000) for g in (0, 1) for i in range(150)]
+    got = {r["g"]: r for r in evaluate.paired_bootstrap(spark.createDataFrame(gaps, "g int, k long, gap long"), "g", "k", "gap", "x", 999).collect()}
+    values = [v / 1e6 for g, _, v in gaps if g]
+    mean = sum(values) / len(values)
+    error = (sum((v - mean) ** 2 for v in values) / len(values) ** 2) ** 0.5
+    assert (got[0]["lo"], got[0]["hi"], got[0]["p_one_sided"]) == (0.5, 0.5, 0.0)
+    assert abs(got[1]["lo"] - (mean - 1.96 * error)) < 0.4 * error and abs(got[1]["hi"] - (mean + 1.96 * error)) < 0.4 * error
