@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import groupby, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,111 @@ def poisson_cuts(scale: int = 1 << 32) -> list[int]:
     return cuts
 
 
+#: Turns, places and addends of the 64 steps of MD5.
+_STEPS = [((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4] for i in range(64)]
+_WORDS = [(i, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16)[i // 16] for i in range(64)]
+_ADDED = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+
+
+@lru_cache(maxsize=64)
+def _tails(start: int, n: int) -> np.ndarray:
+    """The 16 words of MD5's only block for texts of ``start`` zero bytes and a number below n; a row a word."""
+    block = np.zeros((n, 64), np.uint8)
+    for i in range(n):
+        digits = str(i).encode() + b"\x80"
+        block[i, start : start + len(digits)] = list(digits)
+        block[i, 56:60] = list((8 * (start + len(digits) - 1)).to_bytes(4, "little"))
+    return np.ascontiguousarray(block.view("<u4").T)
+
+
+def numbered_md5(heads: list[bytes], n: int) -> np.ndarray:
+    """The MD5 digests of ``heads``, all of one length, with each number from 0 to n - 1 behind: (4, heads, n) numbers, the eight hex digits from 0, 8, 16 and 24 on."""
+    if len(heads[0]) + len(str(n - 1)) > 55:  # more than one block
+        return np.array([[np.frombuffer(hashlib.md5(h + str(i).encode()).digest(), ">u4") for i in range(n)] for h in heads], np.uint32).transpose(2, 0, 1)
+    own = np.stack([np.frombuffer(h.ljust(64, b"\0"), "<u4") for h in heads])
+    words = [t[:1] | own[:, j : j + 1] if (t == t[0]).all() else t | own[:, j : j + 1] for j, t in enumerate(_tails(len(heads[0]), n))]
+    first = [np.full((len(heads), n), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (x.copy() for x in first)
+    f, turned = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, f)
+            f ^= d
+        else:
+            np.invert(d, f)
+            f |= b
+            f ^= c
+        a += f
+        a += words[_WORDS[i]] + np.uint32(_ADDED[i])
+        np.left_shift(a, np.uint32(_STEPS[i]), turned)
+        a >>= np.uint32(32 - _STEPS[i])
+        a |= turned
+        a += b
+        a, b, c, d = d, a, b, c
+    return np.stack([(x + y).byteswap() for x, y in zip((a, b, c, d), first, strict=True)])
+
+
+#: Groups whose sums a task holds before it hands them on, and draws made at once.
+GROUPS, AT_ONCE = 256, 20_000
+
+
+def _sums_by_round(rows: DataFrame, group: str, names: list[str], rounds: int, draw: Callable[[list[dict]], np.ndarray]) -> DataFrame:
+    """(group, __r, names): for each round the sum of what the rows draw; ``draw`` takes rows whose ``__k`` are of one length and gives (names, rows, rounds) numbers. A task adds up its rows before the shuffle."""
+
+    def hand_on(held: dict) -> Iterator[pa.RecordBatch]:
+        for name, total in held.values():
+            columns = [name.take(pa.array(np.zeros(rounds, np.int64))), pa.array(np.arange(rounds), pa.int32()), *map(pa.array, total)]
+            yield pa.RecordBatch.from_arrays(columns, names=[group, "__r", *names])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            found = sorted(({**row, "__at": i} for i, row in enumerate(batch.to_pylist())), key=lambda row: len(row["__k"].encode()))
+            for _, same in groupby(found, key=lambda row: len(row["__k"].encode())):
+                for some in iter(lambda same=same: list(islice(same, max(1, AT_ONCE // rounds))), []):
+                    for row, drawn in zip(some, draw(some).swapaxes(0, 1), strict=True):
+                        if row[group] not in held:
+                            if len(held) >= GROUPS:
+                                yield from hand_on(held)
+                                held = {}
+                            held[row[group]] = (batch.column(group).slice(row["__at"], 1), np.zeros((len(names), rounds), np.int64))
+                        held[row[group]][1][:] += drawn
+        yield from hand_on(held)
+
+    sums = rows.mapInArrow(work, f"`{group}` {rows.schema[group].dataType.simpleString()}, __r int, " + ", ".join(f"{c} long" for c in names))
+    return sums.groupBy(group, "__r").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _interval(means: DataFrame, group: str) -> DataFrame:
+    q = lambda p: F.round(F.percentile("mean", F.lit(p)), 6)
+    return means.groupBy(group).agg(q(0.025).alias("lo"), q(0.975).alias("hi"), F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("p_one_sided"))
+
+
+def sign_bootstrap(df: DataFrame, group: str, key: str, salt: str, rounds: int = 5000) -> DataFrame:
+    """(group, lo, hi, p_one_sided): percentile interval of the mean of differences of -1, 0 and 1, of which the group has ``c``, n - b - c and ``b``.
+
+    Each row makes one draw a round, by a hash of its key: a place among its group's n sorted differences. Rows bring
+    n, b and c along, so no draw is joined with a row, and a task adds up its draws before the shuffle.
+    """
+
+    def draw(rows: list[dict]) -> np.ndarray:
+        n, b, c = (np.array([[row[x]] for row in rows]) for x in ("__n", "__b", "__c"))
+        i = numbered_md5([f"{salt}|{row['__k']}|".encode() for row in rows], rounds)[0] % n
+        return ((i >= n - b).astype(np.int64) - (i < c))[None]
+
+    rows = df.select(group, F.col(key).cast("string").alias("__k"), *[F.col(c).cast("long").alias(f"__{c}") for c in ("n", "b", "c")])
+    sizes = rows.groupBy(group).agg(F.max("__n").alias("__n"))
+    return _interval(_sums_by_round(rows, group, ["__gap"], rounds, draw).join(F.broadcast(sizes), group).select(group, (F.col("__gap") / F.col("__n")).alias("mean")), group)
+
+
 def paired_bootstrap(df: DataFrame, group: str, key: str, gap: str, salt: str, rounds: int = 5000, unit: int = 1_000_000) -> DataFrame:
     """(group, lo, hi, p_one_sided): percentile interval of the mean of ``gap`` (whole numbers, ``unit`` to 1) and the share of rounds in which it is not above 0.
 
@@ -68,19 +178,15 @@ def paired_bootstrap(df: DataFrame, group: str, key: str, gap: str, salt: str, r
     a hash. Rounds in which no row of a group weighs are left out; null gaps take no part.
     """
     rows = df.where(F.col(gap).isNotNull()).select(F.col(group), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__k"), F.col(gap).cast("long").alias("__g"))
-    blocks = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit((rounds + 3) // 4 - 1))))
-    digest = blocks.withColumn("__d", F.md5(F.concat_ws("|", F.lit(salt), F.col("__k"), F.col("__r").cast("string"))))
+    cuts = np.array(poisson_cuts(), np.uint32)
 
-    def weight(i: int) -> Column:
-        u = F.conv(F.substring("__d", 1 + 8 * i, 8), 16, 10).cast("long")
-        return reduce(lambda a, b: a + b, [(u >= F.lit(c)).cast("int") for c in poisson_cuts()])
+    def draw(rows: list[dict]) -> np.ndarray:
+        u = numbered_md5([f"{salt}|{row['__k']}|".encode() for row in rows], (rounds + 3) // 4)
+        weight = np.searchsorted(cuts, u.transpose(1, 2, 0).reshape(len(rows), -1)[:, :rounds], "right")
+        return np.stack([weight, weight * np.array([[row["__g"]] for row in rows])])
 
-    drawn = digest.withColumns({f"__w{i}": weight(i) for i in range(4)})
-    sums = drawn.groupBy(group, "__r").agg(*[F.sum(f"__w{i}").alias(f"w{i}") for i in range(4)], *[F.sum(F.col(f"__w{i}") * F.col("__g")).alias(f"g{i}") for i in range(4)])
-    four = F.explode(F.array(*[F.struct((F.col("__r") * 4 + i).alias("r"), F.col(f"w{i}").alias("w"), F.col(f"g{i}").alias("g")) for i in range(4)]))
-    means = sums.select(group, four.alias("m")).where((F.col("m.r") < rounds) & (F.col("m.w") > 0)).select(group, (F.col("m.g") / F.col("m.w") / unit).alias("mean"))
-    q = lambda p: F.round(F.percentile("mean", F.lit(p)), 6)
-    return means.groupBy(group).agg(q(0.025).alias("lo"), q(0.975).alias("hi"), F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("p_one_sided"))
+    sums = _sums_by_round(rows, group, ["__w", "__sum"], rounds, draw).where("__w > 0")
+    return _interval(sums.select(group, (F.col("__sum") / F.col("__w") / unit).alias("mean")), group)
 
 
 def precision_recall(df: DataFrame, score: str, truth: str, parts: int | None = None) -> DataFrame:

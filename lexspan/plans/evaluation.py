@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as T
 from lexspan.operators import bayes, evaluate, features
+from lexspan.sources.scratch import materialise
 from lexspan.sources.tables import table
 
 from .registry import query
@@ -102,8 +103,9 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with the probabilities of two models, over all features and over two, each trained on the other folds of sources."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", _feature_sql(True).split(", round", 1)[0], *["round" + x for x in _feature_sql(True).split(", round")[1:]])
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("fold", features.hash_bucket("fold", F.col("source"), FOLDS))
+    rows = materialise(rows, "text_features")  # texts are read once, whatever the number of models
     scored = bayes.out_of_fold(bayes.out_of_fold(rows, "quality", "fold", list(_FEATURES), "score"), "quality", "fold", list(_LESS), "other")
-    return scored.select("doc_id", "source", "quality", "fold", "score", "other")
+    return materialise(scored.select("doc_id", "source", "quality", "fold", "score", "other"), "scores")
 
 
 _CONF = """count(*) FILTER (WHERE quality = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE quality = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE quality = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE quality = 0 AND score < 0.5) AS tn"""
@@ -171,8 +173,8 @@ _MCNEMAR = f"""m AS (SELECT source, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE
   round(CASE WHEN b + c = 0 THEN 0 ELSE greatest(abs(b - c) - 1, 0) ** 2 / (b + c)::DOUBLE END, 6) AS chi2 FROM c)"""
 
 
-def discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_labels(spark, sf_dir)
+def discordant(s: DataFrame) -> DataFrame:
+    """(source, b, c): rows that only the first model has right, and only the second."""
     right = lambda c: (F.col(c) >= 0.5) == (F.col("quality") == 1)
     return s.groupBy("source").agg(F.count_if(right("score") & ~right("other")).alias("b"), F.count_if(~right("score") & right("other")).alias("c"))
 
@@ -180,13 +182,13 @@ def discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAIRS}, {_MCNEMAR} SELECT * FROM m")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired test of the two scores in each source."""
-    return evaluate.mcnemar(discordant(spark, sf_dir))
+    return evaluate.mcnemar(discordant(scored_labels(spark, sf_dir)))
 
 
 @query(f"""WITH {_PAIRS}, {_MCNEMAR}, h AS (SELECT *, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p_exact, source) + 1) * p_exact) AS s FROM m)
 SELECT source, p_exact, round(max(s) OVER (ORDER BY p_exact, source), 6) AS p_holm FROM h""")
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = evaluate.mcnemar(discordant(spark, sf_dir)).withColumn("family", F.lit(1))  # one row a source: a small family
+    tests = evaluate.mcnemar(discordant(scored_labels(spark, sf_dir))).withColumn("family", F.lit(1))  # one row a source: a small family
     return evaluate.holm(tests, "p_exact", "family", "source").select("source", "p_exact", "p_holm")
 
 
@@ -201,19 +203,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap of the difference in each source; draws come from hashes, so every engine draws alike.
 
     A row of a source differs by -1, 0 or 1, so a draw is a place in the source's sorted differences,
-    told by its two discordant counts: no draw has to be joined with a row. Each row makes one
-    draw a round, counted where it stands before the shuffle.
+    told by its two discordant counts: no draw has to be joined with a row.
     """
     s = scored_labels(spark, sf_dir)
-    sizes = discordant(spark, sf_dir).join(s.groupBy("source").agg(F.count("*").alias("n")), "source")
+    sizes = discordant(s).join(s.groupBy("source").agg(F.count("*").alias("n")), "source")
     spread = s.select("source", "doc_id").repartition(spark.sparkContext.defaultParallelism, "doc_id")  # few rows, of 5,000 draws each
-    draws = spread.join(sizes, "source").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(_ROUNDS - 1))))
-    key = F.md5(F.concat_ws("|", F.lit("boot"), F.col("doc_id").cast("string"), F.col("r").cast("string")))
-    i = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("n")
-    gap = F.when(F.col("i") < F.col("c"), -1).when(F.col("i") >= F.col("n") - F.col("b"), 1).otherwise(0)
-    m = draws.withColumn("i", i).groupBy("source", "r").agg((F.sum(gap) / F.max("n")).alias("mean"))
-    q = lambda p: F.round(F.percentile("mean", F.lit(p)), 6)
-    return m.groupBy("source").agg(q(0.025).alias("lo"), q(0.975).alias("hi"), F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("p_one_sided"))
+    return evaluate.sign_bootstrap(spread.join(F.broadcast(sizes), "source"), "source", "doc_id", "boot", _ROUNDS)  # a row a source
 
 
 _DRAWS = " + ".join(f"(u >= {c})::INT" for c in evaluate.poisson_cuts())
