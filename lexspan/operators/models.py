@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.sources.scratch import materialise
+
 from .features import hash_bucket
 
 FEATURES = ("log_chars", "symbol_share", "digit_share", "distinct_share", "mean_word")
@@ -34,6 +36,7 @@ def text_features(docs: DataFrame) -> DataFrame:
 def _ready(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
     """Labelled rows with features, a weight that balances the classes, and folds by source."""
     rows = text_features(docs).join(labels.select("doc_id", "quality"), "doc_id").withColumn("fold", hash_bucket("fold", F.col("source"), folds))
+    rows = materialise(rows, "text_features")  # texts are read once, whatever a model's passes
     share = rows.agg(F.avg("quality")).first()[0]
     weight = F.when(F.col("quality") == 1, 0.5 / max(share or 0.5, 1e-6)).otherwise(0.5 / max(1 - (share or 0.5), 1e-6))
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumn("weight", weight))

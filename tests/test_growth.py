@@ -37,3 +37,9 @@ def test_texts_are_read_once_for_all_models(spark):
     """The scores come from a written table, so no later step reads a text again."""
     for name in ("bootstrap_ci", "bootstrap_gaps", "error_rows"):
         assert not any("documents.parquet" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()), name
+
+
+def test_classifiers_train_on_written_features(spark):
+    """No pass of a model reads a text again."""
+    for name in ("quality_classifier", "voting_classifier"):
+        assert not any("documents.parquet" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()), name
