@@ -6,14 +6,13 @@ asks for. That table of postings then is met by the block's terms as a compiled
 all queries in its own row, and a task hands on at most ``depth`` rows a query. Vectors are met in the same
 way, as a product of matrices.
 
-Both streams give the best documents by one part of a score, and the least part that a document outside
-them can still have. With these the best possible score of all other documents is known. Where it is not
-below the k-th best score found, the query goes on with four times the depth. So every document counts,
-those without a shared word too, and no row is made for each query and document.
+The best part by words of each query comes first; with it a second pass knows what each document can score at
+most by words, vectors and rules together, and keeps the best by that. Where the last of those is not below the
+k-th best score found, the query goes on with four times the depth. So every document counts, those without
+a shared word too, no row is made for each query and document, and what a task holds does not grow with the table.
 
 Rules multiply scores. Their conditions on documents are read once, as bits beside the postings, those on
-queries as bits of the block, so both streams know a document's factor and are in the order of their part
-times it: the bound holds for ruled scores as it does for plain ones.
+queries as bits of the block, so a task knows a document's factor for each query.
 """
 
 from __future__ import annotations
@@ -34,9 +33,9 @@ from lexspan.functions.text import STOP_WORDS, tokens
 from lexspan.sources.scratch import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries of a block, the first depth of both streams, and distinct terms that a task counts before it hands its counts on.
-BLOCK, DEPTH, HELD = 1024, 32, 1 << 20
-#: Documents scored at once in a task.
+#: Queries of a block, the first depth, and distinct terms that a task counts before it hands its counts on.
+BLOCK, DEPTH, HELD = 1024, 32, 1 << 17
+#: Documents read and scored at once in a task.
 ROWS = 256
 #: Decimals of scores; ties at that precision go to the smaller document.
 DIGITS = 8
@@ -192,7 +191,7 @@ def _postings(docs: DataFrame, block: Block, counts: bool) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, seen, n, total = shared.value, Counter(), 0, 0
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             dl, terms, tfs = [], [], []
             for text in batch.column(1):
                 found = term_counter(text.as_py())
@@ -233,20 +232,18 @@ class Lexical:
         return np.round(score.astype(float), DIGITS).reshape(-1, self.n), np.bincount(place, minlength=len(rows) * self.n).reshape(-1, self.n)
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], factors: Callable[[np.ndarray], list[np.ndarray | None]], open_queries: np.ndarray, depth: int, doc: pa.DataType, matching: bool) -> Iterator[pa.RecordBatch]:
-    """The ``depth`` best rows of each query and variant (a factor of each document and query, or none) in a task: those above 0 or, if ``matching``, all that share a term."""
+def _best_rows(batches: Iterator[pa.RecordBatch], score: Callable[[pa.RecordBatch], tuple[list[np.ndarray], np.ndarray]], open_queries: np.ndarray, depth: int, doc: pa.DataType, matching: bool) -> Iterator[pa.RecordBatch]:
+    """The ``depth`` best rows of each query and variant of the score in a task: those above 0 or, if ``matching``, all that share a term."""
     n, best = len(open_queries), None
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             rows = batch.slice(i, ROWS)
-            plain, matched = score(rows)
+            values, matched = score(rows)
             ids = np.asarray(rows.column("doc").to_numpy(zero_copy_only=False))
-            row, query = np.nonzero(((matched if matching else plain) > 0) & open_queries[None])
-            ruled = factors(rows.column("holds").to_numpy(zero_copy_only=False))
-            best = best or Best(n * len(ruled), depth)
-            for v, factor in enumerate(ruled):
-                value = plain[row, query] if factor is None else plain[row, query] * factor[row, query]
-                best.add(v * n + query, value, ids[row], matched[row, query])
+            best = best or Best(n * len(values), depth)
+            for v, value in enumerate(values):
+                row, query = np.nonzero(((matched if matching else value) > 0) & open_queries[None] & (value >= best.least[None, v * n : (v + 1) * n]))
+                best.add(v * n + query, value[row, query], ids[row], matched[row, query])
     if best and best.parts:
         query, value, row, matched = best.cut()
         yield pa.RecordBatch.from_arrays([pa.array(query // n), pa.array(query % n), pa.array(row, doc), pa.array(value), pa.array(matched, pa.int64())], names=["__v", "__q", "doc", "score", "matched"])
@@ -308,26 +305,36 @@ def _search_block(docs: DataFrame, block: Block, conditions: Conditions, ranking
     dim = max([len(v) for v in block.vectors if v is not None], default=0)
     matrix = spark.sparkContext.broadcast(np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in block.vectors]).reshape(n, dim))
     names = spark.createDataFrame([(i, q, int(a), v if v is None else v.tolist()) for i, (q, a, v) in enumerate(zip(block.ids, block.asks, block.vectors, strict=True))], f"__q long, query {'string' if isinstance(block.ids[0], str) else 'long'}, __asks long, qvec array<double>")  # a block of queries
-    variants = list(dict.fromkeys([(), *(r.rules for r in rankings)]))
-
-    def factors(holds: np.ndarray) -> list[np.ndarray | None]:
-        return [conditions.factors(rules, block.asks, holds) if rules else None for rules in variants]
+    variants = list(dict.fromkeys((r.rules, r.lexical, r.dense) for r in rankings))
 
-    def dense_scores(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def dense_scores(rows: pa.RecordBatch) -> np.ndarray:
         fits = pc.fill_null(pc.equal(pc.list_value_length(rows.column("vec")), dim), False).to_numpy(zero_copy_only=False)
         score = np.zeros((len(rows), n))
         flat = rows.column("vec").filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
         score[fits] = np.round(np.clip(flat @ matrix.value.T, 0, 1), DIGITS)
-        return np.nan_to_num(score), np.zeros((len(rows), n), np.int64)
+        return np.nan_to_num(score)
+
+    def most(tops: np.ndarray) -> Callable[[pa.RecordBatch], tuple[list[np.ndarray], np.ndarray]]:
+        """What each document can score at most for each query, by variant; ``tops`` are the best scores by words."""
+
+        def score(rows: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+            plain, matched = lexical.value.scores(rows)
+            share, near, holds = plain / np.where(tops > 0, tops, 1.0), dense_scores(rows) if by_vectors else 0.0, rows.column("holds").to_numpy(zero_copy_only=False)
+            return [(words * share + dense * near) * (conditions.factors(rules, block.asks, holds) if rules else 1.0) for rules, words, dense in variants], matched
+
+        return score
 
     row_kind = f"__v long, __q long, doc {doc_kind}, score double, matched long"
 
     def stream(source: DataFrame, score: Callable, open_queries: np.ndarray, depth: int) -> DataFrame:
-        found = source.mapInArrow(lambda batches: _best_rows(batches, score, factors, open_queries, depth, doc_arrow, matching_only), row_kind)
+        found = source.mapInArrow(lambda batches: _best_rows(batches, score, open_queries, depth, doc_arrow, matching_only), row_kind)
         by = Window.partitionBy("__v", "__q").orderBy(F.desc("score"), "doc")
         return found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= depth).drop("at")
 
-    by_words = lambda rows: lexical.value.scores(rows)
+    def by_words(rows: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+        score, matched = lexical.value.scores(rows)
+        return [score], matched
+
     keep = ["query", "doc", "bm25", "matched", "share", "dense"]
     if matching_only:
         if any(r.dense or r.rules for r in rankings):
@@ -339,10 +346,13 @@ def _search_block(docs: DataFrame, block: Block, conditions: Conditions, ranking
         by = Window.partitionBy("ranking", "query").orderBy(F.desc("score"), "doc")
         return [reduce(DataFrame.union, ordered).withColumn("rank", F.row_number().over(by))], counted
 
-    vector_rows = None
-    if vectors is not None and dim and any(r.dense for r in rankings):
-        own = vectors.where("doc IS NOT NULL AND vec IS NOT NULL").select("doc", "vec")
-        vector_rows = materialise(own.join(by_doc.select("doc", "holds"), "doc"), "vectors") if any(r.rules for r in rankings) else own.withColumn("holds", F.lit(0).cast("long")).join(by_doc.select("doc"), "doc", "left_semi")
+    by_vectors = vectors is not None and dim > 0 and any(r.dense for r in rankings)
+    tops = np.zeros(n)
+    for r in stream(by_doc, by_words, np.ones(n, bool), 1).select("__q", "score").collect():  # a row a query of the block
+        tops[r["__q"]] = r["score"]
+    known = spark.createDataFrame(list(enumerate(tops.tolist())), "__q long, __best double")
+    if by_vectors:
+        by_doc = materialise(by_doc.join(vectors.where("doc IS NOT NULL AND vec IS NOT NULL").select("doc", "vec"), "doc", "left"), "documents")
     first_docs = F.array(*[F.lit(r["doc"]) for r in docs.select("doc").orderBy("doc").limit(k).collect()]).cast(f"array<{doc_kind}>")
 
     def pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,32 +366,22 @@ def _search_block(docs: DataFrame, block: Block, conditions: Conditions, ranking
                 yield pa.RecordBatch.from_arrays([pa.array(query), rows.column("doc").take(out), rows.column("holds").take(out), pa.array(score[row, query]), pa.array(matched[row, query], pa.int64())], names=["__q", "doc", "__holds", "bm25", "matched"])
 
     open_queries, depth, parts = np.ones(n, bool), max(DEPTH, k), []
-    last = lambda df: df.groupBy("__v", "__q").agg(F.count("*").alias("n"), F.min("score").alias("last"), F.max("score").alias("best")).collect()
+    last = lambda df: df.groupBy("__v", "__q").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()
     while open_queries.any():
-        streams = [materialise(stream(by_doc, by_words, open_queries, depth), "lexical")]
-        ends = {(r["__v"], r["__q"]): r for r in last(streams[0])}  # a row for each variant and query of the block
-        far: dict[tuple[int, int], float] = {}
-        if vector_rows is not None:
-            streams.append(materialise(stream(vector_rows, dense_scores, open_queries, depth), "dense"))
-            far = {(r["__v"], r["__q"]): r["last"] for r in last(streams[1]) if r["n"] >= depth}
-        left = []  # what a document outside of the streams has at most, by ranking and query
-        for q in np.flatnonzero(open_queries).tolist():
-            top = ends[0, q]["best"] if (0, q) in ends else 0.0
-            for r in rankings:
-                v = variants.index(r.rules)
-                end = ends.get((v, q))
-                share = end["last"] / top if end and end["n"] >= depth and top > 0 else 0.0
-                left.append((r.name, q, top, r.lexical * share + r.dense * far.get((v, q), 0.0)))
-        state = spark.createDataFrame(left, "ranking string, __q long, __best double, left double")
-        known = state.groupBy("__q").agg(F.first("__best").alias("__best"))
-        pairs = reduce(DataFrame.union, [*(s.select("__q", "doc") for s in streams), known.select("__q", F.explode(first_docs).alias("doc"))])  # documents without any score come by their ids
+        nearest = materialise(stream(by_doc, most(tops), open_queries, depth), "nearest")
+        ends = {(r["__v"], r["__q"]): r["last"] for r in last(nearest) if r["n"] >= depth}  # a row for each variant and query of the block
+        # what a document outside of these has at most, by ranking and query
+        left = [(r.name, q, ends.get((variants.index((r.rules, r.lexical, r.dense)), q), 0.0)) for q in np.flatnonzero(open_queries).tolist() for r in rankings]
+        state = spark.createDataFrame(left, "ranking string, __q long, left double")
+        pairs = nearest.select("__q", "doc").union(state.select("__q").distinct().select("__q", F.explode(first_docs).alias("doc")))  # documents without any score come by their ids
         asked = materialise(pairs.groupBy("doc").agg(F.collect_set("__q").alias("qs")), "candidates")  # at most a block of queries a document
-        rows = by_doc.join(asked, "doc").select("doc", "holds", "dl", "terms", "tfs", "qs").mapInArrow(pair_scores, f"__q long, doc {doc_kind}, __holds long, bm25 double, matched long").join(F.broadcast(known), "__q").join(F.broadcast(names), "__q")
+        chosen = by_doc.join(asked, "doc") if not by_vectors else materialise(by_doc.join(asked, "doc"), "chosen")
+        rows = chosen.select("doc", "holds", "dl", "terms", "tfs", "qs").mapInArrow(pair_scores, f"__q long, doc {doc_kind}, __holds long, bm25 double, matched long").join(F.broadcast(known), "__q").join(F.broadcast(names), "__q")
         rows = rows.withColumn("share", F.when(F.col("__best") > 0, F.col("bm25") / F.col("__best")).otherwise(F.col("bm25")))
-        if vector_rows is not None:
+        if by_vectors:
             product = F.aggregate(F.zip_with("vec", "qvec", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
             dense = F.when((F.size("vec") == dim) & (F.size("qvec") == dim), F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)))
-            rows = rows.join(vector_rows.select("doc", "vec"), "doc", "left").withColumn("dense", F.coalesce(dense, F.lit(0.0)))
+            rows = rows.join(chosen.select("doc", "vec"), "doc").withColumn("dense", F.coalesce(dense, F.lit(0.0)))
         else:
             rows = rows.withColumn("dense", F.lit(0.0))
         orders = [F.struct(F.lit(r.name).alias("ranking"), F.expr(r.score.replace("{factor}", f"({conditions.sql(r.rules)})")).cast("double").alias("score")) for r in rankings]

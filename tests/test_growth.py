@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-from lexspan.operators import evaluate
+from lexspan.operators import evaluate, search
 from lexspan.plans import catalog
 
 QUERIES = catalog.queries()
@@ -43,3 +43,13 @@ def test_classifiers_train_on_written_features(spark):
     """No pass of a model reads a text again."""
     for name in ("quality_classifier", "voting_classifier"):
         assert not any("documents.parquet" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()), name
+
+
+def test_one_round_finds_the_best_by_words_and_vectors(spark, monkeypatch):
+    """The depth, and with it what a task holds, does not grow until two separate streams meet."""
+    names, write = [], search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df, name: names.append(name) or write(df, name))
+    for name in ("low_confidence_gate", "boosted_topk"):
+        names.clear()
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+        assert names.count("candidates") == 1, name
