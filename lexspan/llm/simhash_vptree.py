@@ -285,6 +285,8 @@ SIEVE_BITS = 1 << 20
 #: Digests of sets that a task remembers to hand on copies once.
 SEEN_DIGESTS = 200_000
 FIVE = 5
+#: Random orders of points whose first ones are tried on all points with a shared shingle.
+HUBS = 8
 #: Bits on which a set of shingles is folded; sets at Hamming distance d there differ in at least d shingles.
 FOLDED_BITS = 512
 _BLANKS = separators(BLANKS)
@@ -456,9 +458,18 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each point with the one that is first for most of its shingles. A row a point, and enough to join a large group that the trees left in pieces."""
-    stars = shared.where("root != first.root").groupBy("point", F.col("first.point").alias("b")).agg(F.count("*").alias("c"))
-    return stars.groupBy(F.col("point").alias("a")).agg(F.max(F.struct("c", "b")).alias("s")).select("a", "s.b")
+    """(a, b): each point with a few of other groups, enough to join a large group that the trees left in pieces; at most HUBS + 1 rows a point.
+
+    A shingle's hubs are the point in whose prefix it stands foremost, which has the fewest rare shingles and so lies
+    amid texts that are almost alike, and the first points in each of HUBS random orders. Of each kind a point takes
+    the hub that most of its shingles name. One hub alone may lie aside, and a text alike to the share p of the others
+    misses all with chance (1 - p)**HUBS: what is left to ``missing_pairs`` are few pairs, wherever the groups begin.
+    """
+    orders = [F.struct("pos", F.xxhash64("point").alias("tie"), "root", "point"), *(F.struct(F.xxhash64("point", F.lit(k)).alias("tie"), "root", "point") for k in range(HUBS))]
+    hubs = shared.groupBy("h").agg(*[F.min(o).alias(f"hub{k}") for k, o in enumerate(orders)])
+    named = [F.mode(F.when(F.col(f"hub{k}.root") != F.col("root"), F.col(f"hub{k}.point"))) for k in range(len(orders))]
+    chosen = shared.select("h", "point", "root").join(hubs, "h").groupBy(F.col("point").alias("a")).agg(F.array_distinct(F.array(*named)).alias("hubs"))
+    return chosen.select("a", F.explode("hubs").alias("b")).where("b is not null")
 
 
 def least_shared(similarity: float) -> Column:
@@ -508,8 +519,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     """(id, component_id): groups of texts linked by a Jaccard similarity of their five-word shingle sets of ``similarity`` or more, exactly.
 
     A point is a distinct set. The trees propose links, which are checked on the sets; they leave
-    few groups to join, also where thousands of texts are alike. Stars over shared rare shingles, checked
-    too, join what they left in pieces. Then a prefix join finds every pair of points in different
+    few groups to join, also where thousands of texts are alike. Stars around several hubs of the shared rare
+    shingles, checked too, join what they left in pieces. Then a prefix join finds every pair of points in different
     groups that can still reach the similarity, and the sets decide again: nothing is lost, whatever
     the trees find.
     """

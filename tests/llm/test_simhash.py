@@ -184,3 +184,29 @@ def test_folded_sets_differ_no_more_than_the_sets():
         apart = (int.from_bytes(sv.folded(a), "big") ^ int.from_bytes(sv.folded(b), "big")).bit_count()
         assert apart <= len(np.setxor1d(a, b)) and len(sv.folded(a)) == sv.FOLDED_BITS // 8
         assert apart > 0 or edits == 0
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_pairs_of_a_group_almost_alike_grow_no_faster_than_it(spark, monkeypatch, n):
+    """The first texts lie aside: each is alike to few others, whose pairs were all made before."""
+    rng = random.Random(21)
+    vocab = [f"word{i}" for i in range(4000)]
+    base, rows = rng.choices(vocab, k=150), []
+    for d in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), 3 if d < n // 5 else rng.randint(1, 2)):
+            words[at] = rng.choice(vocab)
+        rows.append((d, " ".join(words)))
+    rows.append((n, " ".join(base)))
+    sizes, write = {}, sv.materialise
+    monkeypatch.setattr(sv, "find_links", lambda points, layout: spark.createDataFrame([], "a binary, b binary"))  # trees that find nothing
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(sv, "materialise", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["component_id"] for r in sv.near_duplicates(df).collect()} == {0}
+    assert sizes["star_pairs"] <= (sv.HUBS + 1) * len(rows) and sizes["missing_pairs"] <= len(rows)
